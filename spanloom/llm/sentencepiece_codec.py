@@ -26,7 +26,7 @@ MARK = "▁"
 _SEGMENT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Segments and pairs of pieces remembered in a worker.
-MEMO, PAIRS = 400_000, 1_500_000
+MEMO, PAIRS = 1_000_000, 1_500_000
 #: Segments up to this length are advanced together, longer ones alone.
 TOGETHER = 64
 _codecs: dict = {}
@@ -138,7 +138,12 @@ class Codec:
 
     def _admissible(self, last: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """Whether each piece may follow the last one (-2: start, -1: a character without a piece)."""
-        return np.fromiter((a < 0 or self._joined(a, b) for a, b in zip(last.tolist(), piece.tolist())), bool, len(last))
+        keys = np.where(last < 0, -1, last * len(self.pieces) + piece).tolist()
+        known = list(map(self.pairs.get, keys))
+        for i, (k, ok) in enumerate(zip(keys, known)):
+            if ok is None:
+                known[i] = k < 0 or self._joined(int(last[i]), int(piece[i]))
+        return np.array(known, bool)
 
     def _viterbi(self, codes: np.ndarray) -> list[list[int]]:
         """Pieces of segments of one length; -1 for a character without a piece."""
@@ -270,8 +275,8 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     def run(batches):
         c = codec(path)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
                 ids = c.encode(part.column("__text").to_pylist())
                 sizes = np.cumsum([0, *map(len, ids)])
                 flat = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *ids]).astype(np.int32)))
