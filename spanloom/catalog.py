@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from spanloom.plans.oracle import ORACLE
+from spanloom.plans.queries import QUERIES
+
 FLAGSHIP = "rescue_marks"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLE)
