@@ -61,3 +61,21 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def encoded(value) -> bytes:
     """UTF-8 bytes of an Arrow string value; null counts as empty."""
     return b"" if value is None else value.encode("utf-8", "surrogatepass")
+
+
+_caches: list = []
+_owner: list[str] = [""]
+
+
+def cache() -> dict:
+    """A dictionary that a worker keeps for one operator's tasks; see claim()."""
+    _caches.append({})
+    return _caches[-1]
+
+
+def claim(owner: str) -> None:
+    """Workers are used again for other operators: what they remember for the last one is let go first."""
+    if _owner[0] != owner:
+        for c in _caches:
+            c.clear()
+        _owner[0] = owner

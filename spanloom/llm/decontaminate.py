@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, bound_batches, encoded
+from .common import WORD_BYTES, bound_batches, cache, claim, encoded
 
 WINDOW = 13
 #: Characters of patterns in one automaton (about 40 bytes of memory each); more items are dealt to more automata.
 AUTOMATON_CHARS = 4_000_000
-_built: dict = {}
+_built = cache()
 _serial = itertools.count()
 _FOUND = "n_words long, runs array<struct<a:long,b:long>>, spans array<struct<a:long,b:long>>, items array<string>"
 
@@ -148,6 +148,7 @@ def _automaton(held, key: str, window: int):
 
 def _scanner(held, key: str, window: int):
     def run(batches):
+        claim("decontaminate")
         automaton = _automaton(held, key, window)
         for b in batches:
             rows = []

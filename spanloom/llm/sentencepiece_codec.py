@@ -20,16 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, cache, claim
 
 MARK = "▁"
-_SEGMENT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+_SEGMENT = re.compile(" +[^ ]*|[^ ]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Segments and pairs of pieces remembered in a worker.
 MEMO, PAIRS = 1_000_000, 1_500_000
 #: Segments up to this length are advanced together, longer ones alone.
 TOGETHER = 64
-_codecs: dict = {}
+_codecs = cache()
 
 
 def _fields(b: bytes):
@@ -202,7 +202,7 @@ class Codec:
             step = 4096 if size <= TOGETHER else 1
             for at in range(0, len(group), step):
                 some = group[at : at + step]
-                codes = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(some), size)
+                codes = np.frombuffer("".join(some).replace(" ", MARK).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(some), size)
                 for s, path in zip(some, self._viterbi(codes) if size <= 4096 else [self._alone(some[0], codes)]):
                     out[s] = self._ids(s, path)
         return out
@@ -239,7 +239,8 @@ class Codec:
         """Ids of each text; null and empty texts have none."""
         cut = []
         for t in texts:
-            s = (MARK if self.prefix and t else "") + (t or "").replace(" ", MARK)
+            # blanks stand for marks until a segment is cut, which keeps what is remembered small
+            s = (" " if self.prefix and t else "") + (t or "").replace(MARK, " ")
             cut.append(_SEGMENT.findall(s) if self.cut else [s] if s else [])
         memo = self.memo
         fresh = self._encode([s for s in set().union(*cut) if s not in memo]) if cut else {}
@@ -273,6 +274,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        claim("sentencepiece")
         c = codec(path)
         for b in batches:
             for at in range(0, b.num_rows, 1000):

@@ -14,14 +14,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, checkpoint, encoded, materialise
+from .common import bound_batches, checkpoint, claim, encoded, materialise
 from .components import connected_components
 
 BITS = 64
 #: Shingles hashed at a time within one text.
 CHUNK = 1 << 16
 #: Members of a bucket that one task compares at once.
-BLOCK = 2048
+BLOCK = 1024
 
 
 def covering_masks(places: list[int], radius: int) -> list[int]:
@@ -197,6 +197,7 @@ def _wide(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     bound_batches(docs.sparkSession)
 
     def run(batches):
+        claim("simhash")
         for b in batches:
             rows = [wide_simhash(encoded(t.as_py()), k) for t in b.column(1)]
             cols = [pa.array([_signed(r[0]) for r in rows], pa.int64()), *(pa.array([_signed(r[1][j]) for r in rows], pa.int64()) for j in range(4))]
@@ -210,6 +211,7 @@ def _similar_in_groups(groups: DataFrame, most: int) -> DataFrame:
     """groups: a list column ``m`` of (id, w0..w3). A link from each member to the smallest id it reaches in the group."""
 
     def run(batches):
+        claim("simhash")
         for b in batches:
             out = []
             for x in b.column("m"):

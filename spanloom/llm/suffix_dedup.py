@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, encoded, materialise
+from .common import bound_batches, claim, encoded, materialise
 
 GRAM = 64
 #: Window starts treated at a time within a text; positions in a block fit into 20 bits.
@@ -245,6 +245,7 @@ def _sorted_spans(contexts: DataFrame, window: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(rid[at]), pa.array(did[at]), pa.array(q - far[at]), pa.array(q - near[at] + window)], ["rid", "did", "s", "e"])
 
     def run(batches):
+        claim("suffix")
         held, n = [], 0
         for b in batches:
             h = b.column("h").to_numpy()

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, cache, claim
 
 #: Unicode White_Space, which is what ``\\s`` means to the library.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -27,7 +27,7 @@ _BOUNDARY = re.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])")
 HUGE, CHUNK, OVERLAP = 40_000, 16_384, 256
 #: Units remembered in a worker; later ones are encoded as they come.
 MEMO = 400_000
-_tokenizers: dict = {}
+_tokenizers = cache()
 
 
 def tokenizer(path: str):
@@ -172,6 +172,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        claim("counts")
         count = counter(path)
         for b in batches:
             for at in range(0, b.num_rows, 256):
