@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, encoded
+from .common import bound_batches, cache, claim, encoded
 
 MAGIC = b"SPTK\x01"
 BLOCK = 4096
@@ -260,6 +260,16 @@ class WordEncoder:
         return [b"".join([fresh[x] if i is None else i for x, i in zip(p, ids)]) for p, ids in zip(parts, found)]
 
 
+_encoders = cache()
+
+
+def encoder(path: str) -> WordEncoder:
+    """One encoder, with what it remembers, per worker and file."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, frame: int = FRAME) -> None:
     """Encode every whole text (null: empty), append ``end_id``, write frames in ascending id order.
 
@@ -274,7 +284,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
 
     def run(batches):
-        encode, held, n, seq, part = WordEncoder(tokenizer_path), [], 0, 0, 0
+        claim("files")
+        encode, held, n, seq, part = encoder(tokenizer_path), [], 0, 0, 0
         end = np.array([end_id], "<u2").tobytes()
 
         def close():
@@ -285,8 +296,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
             return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cols, kinds)], ["part", "seq", "doc_ids", "n_tokens", "ids"])
 
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                some = b.slice(at, 512)
+            for at in range(0, b.num_rows, 2000):
+                some = b.slice(at, 2000)
                 part = some.column("part")[0].as_py()
                 for d, x in zip(some.column("doc_id").to_pylist(), encode([encoded(t.as_py()) for t in some.column("text")])):
                     held.append((d, x + end))
