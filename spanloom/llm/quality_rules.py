@@ -57,16 +57,16 @@ def _histograms(df: DataFrame) -> DataFrame:
     return df.withColumn("word_hist", F.concat("word_hist", F.array(F.greatest(F.lit(0), F.size("words") - F.aggregate("word_hist", F.lit(0), lambda a, x: a + x))))).drop("common")
 
 
-def _shares(hist: Column) -> Column:
-    total = F.aggregate(hist, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(hist, lambda x: F.when(total > 0, x / total).otherwise(0.0))
+def _total(hist: str) -> Column:
+    return F.aggregate(hist, F.lit(0.0), lambda a, x: a + x)
 
 
-def js_distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance (base 2) of two share arrays: 0 to 1."""
+def _js_distance(hist: str, total: str, ref: str) -> Column:
+    """Jensen-Shannon distance (base 2), 0 to 1, of counts with their total from reference shares."""
     part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
-    terms = F.zip_with(p, q, lambda x, y: part(x, (x + y) / 2) + part(y, (x + y) / 2))
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2))
+    both = lambda x, y: part(x, (x + y) / 2) + part(y, (x + y) / 2)
+    terms = F.zip_with(hist, ref, lambda n, y: both(n / F.col(total), y))
+    return F.when(F.col(total) > 0, F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2)))
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", window: int = 5) -> DataFrame:
@@ -97,7 +97,8 @@ def language_references(measured: DataFrame, min_words: int = MIN_WORDS) -> Data
     sums = [F.sum(F.col(h)[k]).alias(f"{h}{k}") for h, n in (("char_hist", 5), ("word_hist", n_words)) for k in range(n)]
     s = measured.where(F.col("n_words") >= min_words).groupBy("lang").agg(*sums)
     s = s.select("lang", F.array(*[f"char_hist{k}" for k in range(5)]).alias("c"), F.array(*[f"word_hist{k}" for k in range(n_words)]).alias("w"))
-    return s.select("lang", _shares(F.col("c")).alias("ref_chars"), _shares(F.col("w")).alias("ref_words"))
+    s = s.withColumn("nc", _total("c")).withColumn("nw", _total("w"))
+    return s.select("lang", F.transform("c", lambda x: x / F.col("nc")).alias("ref_chars"), F.transform("w", lambda x: x / F.col("nw")).alias("ref_words"))
 
 
 def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = MIN_WORDS, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
@@ -110,7 +111,8 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     m = materialise(measure(docs, id_col, text_col, lang_col), "measured")
     m = m.join(language_references(m, min_words), "lang", "left")
-    m = m.withColumn("char_distance", js_distance(_shares(F.col("char_hist")), F.col("ref_chars"))).withColumn("word_distance", js_distance(_shares(F.col("word_hist")), F.col("ref_words")))
+    m = m.withColumn("nc", _total("char_hist")).withColumn("nw", _total("word_hist"))
+    m = m.withColumn("char_distance", _js_distance("char_hist", "nc", "ref_chars")).withColumn("word_distance", _js_distance("word_hist", "nw", "ref_words"))
     m = m.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     far = (F.col("n_words") >= min_words) & ((F.col("char_distance") > max_char) | (F.col("word_distance") > max_word))
     m = m.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
