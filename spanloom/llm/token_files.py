@@ -31,8 +31,8 @@ FRAME = 6_000_000
 SLOTS = 10
 #: Order-0 counts are turned into shares after so many ids.
 RENEW = 512
-_U, _TOTAL = np.uint64, 1 << 24
-_LOW63 = _U((1 << 63) - 1)
+_TOTAL = 1 << 24
+_LOW63, _LOW31 = (1 << 63) - 1, (1 << 31) - 1
 
 
 class _Model:
@@ -42,7 +42,8 @@ class _Model:
         self.n, self.his = lanes, (alphabet + 255) >> 8
         row = np.arange(lanes, dtype=np.int64)
         self.base, self.base8, self.base_hi = row << SLOTS, row << 3, row * self.his
-        self.slot1, self.slot2 = np.zeros(lanes << SLOTS, np.int64), np.zeros(lanes << SLOTS, np.int64)  # id | run << 16
+        # id | run << 16; 32 bits halve the memory that each step jumps about in
+        self.slot1, self.slot2 = np.zeros(lanes << SLOTS, np.int32), np.zeros(lanes << SLOTS, np.int32)
         self.hit1, self.hit2 = np.full(lanes * 8, 1 << 14, np.int64), np.full(lanes * 8, 1 << 14, np.int64)  # chance of a hit by run, of 2^16
         self.counts = np.ones(lanes * self.his, np.int64)
         self.p1 = np.zeros(lanes, np.int64)
@@ -104,7 +105,8 @@ def pack(ids: np.ndarray, alphabet: int = 49408) -> bytes:
     """One frame: header, CRC-32 and number of 32-bit words of each block, then the blocks' words."""
     steps, lanes = _lanes(ids)
     m = _Model(lanes, alphabet)
-    low, rng = np.zeros(lanes, _U), np.full(lanes, _LOW63)
+    # signed, but kept below 2^63: a carry shows as the sign
+    low, rng = np.zeros(lanes, np.int64), np.full(lanes, _LOW63)
     width = len(steps) + 4
     words, n_words = np.zeros(lanes * width, np.uint32), np.arange(lanes, dtype=np.int64) * width
     for x in steps:
@@ -119,27 +121,28 @@ def pack(ids: np.ndarray, alphabet: int = 49408) -> bytes:
         is1 &= ~is2
         start = np.where(is2, 0, np.where(is1, m.w2, start))
         size = np.where(is2, m.w2, np.where(is1, m.w1, size))
-        r = rng >> _U(24)
-        low += r * start.astype(_U)
-        rng = r * size.astype(_U)
-        carry = np.flatnonzero(low >> _U(63))
+        rng >>= 24
+        start *= rng
+        low += start
+        rng *= size
+        carry = np.flatnonzero(low < 0)
         if len(carry):
             low[carry] &= _LOW63
             _carry(words, n_words, carry)
-        need = np.flatnonzero(rng < _U(1 << 31))
+        need = np.flatnonzero(rng < 1 << 31)
         if len(need):
             at, x_low = n_words.take(need), low.take(need)
-            words[at] = x_low >> _U(31)
+            words[at] = x_low >> 31
             n_words[need] = at + 1
-            low[need] = (x_low & _U((1 << 31) - 1)) << _U(32)
-            rng[need] = rng.take(need) << _U(32)
+            low[need] = (x_low & _LOW31) << 32
+            rng[need] = rng.take(need) << 32
         m.update(x, at_hi)
         if m.due():
             m._share()
     for _ in range(2):
-        words[n_words] = low >> _U(31)
+        words[n_words] = low >> 31
         n_words += 1
-        low = (low & _U((1 << 31) - 1)) << _U(32)
+        low = (low & _LOW31) << 32
     words, n_words = words.reshape(lanes, width), n_words - np.arange(lanes) * width
     crcs = [zlib.crc32(ids[k * BLOCK : (k + 1) * BLOCK].astype("<u4").tobytes()) for k in range(lanes)]
     head = MAGIC + struct.pack("<QIIH", len(ids), lanes, alphabet, BLOCK)
@@ -164,7 +167,7 @@ def unpack(frame: bytes, block: int | None = None) -> np.ndarray:
     firsts = np.cumsum(n_words) - n_words
     coded = np.frombuffer(frame, "<u4", int(n_words.sum()), at + 8 * lanes)
     pick = np.arange(lanes) if block is None else np.array([block])
-    coded = np.concatenate([coded, np.zeros(4, "<u4")]).astype(_U)
+    coded = np.concatenate([coded, np.zeros(4, "<u4")]).astype(np.int64)
     n_steps = width if lanes > 1 else max(1, total)
     ids = _decode(coded, firsts[pick], alphabet, n_steps)
     for j, k in enumerate(pick):
@@ -178,19 +181,20 @@ def _decode(coded: np.ndarray, at: np.ndarray, alphabet: int, n_steps: int) -> n
     m = _Model(lanes, alphabet)
     find, end, first = m.find(), len(coded) - 1, np.arange(lanes, dtype=np.int64) << 12
     # code is kept relative to low, which then need not be known
-    code = (coded[at] << _U(31)) | (coded[np.minimum(at + 1, end)] >> _U(1))
-    spare, at, rng = coded[np.minimum(at + 1, end)] & _U(1), at + 2, np.full(lanes, _LOW63)
+    code = (coded[at] << 31) | (coded[np.minimum(at + 1, end)] >> 1)
+    spare, at, rng = coded[np.minimum(at + 1, end)] & 1, at + 2, np.full(lanes, _LOW63)
     out = np.empty((n_steps, lanes), np.int32)
     for step in range(n_steps):
         m.predict()
-        r = rng >> _U(24)
-        t = np.minimum(code // r, _U(_TOTAL - 1)).astype(np.int64)
+        rng >>= 24
+        t = np.minimum((code.view(np.uint64) // rng.view(np.uint64)).view(np.int64), _TOTAL - 1)
         base = m.w2 + m.w1
-        slot = np.minimum((((np.maximum(t - base, 0) + 1) << 20) - 1) // m.rest, (1 << 20) - 1)
+        # both divisions have less than 2^44 above and 2^24 below, for which doubles are exact
+        slot = np.minimum((((np.maximum(t - base, 0) + 1) << 20) - 1) / m.rest, (1 << 20) - 1).astype(np.int64)
         hi = find.take(first + (slot >> 8)).astype(np.int64)
         at_hi = m.base_hi + hi
         f, c = m.freq.take(at_hi), m.cum.take(at_hi)
-        lo = (slot - c) // f
+        lo = ((slot - c) / f).astype(np.int64)
         c += lo * f
         start = base + ((m.rest * c) >> 20)
         size = base + ((m.rest * (c + f)) >> 20) - start
@@ -199,16 +203,17 @@ def _decode(coded: np.ndarray, at: np.ndarray, alphabet: int, n_steps: int) -> n
         x = np.where(is2, m.id2, np.where(is1, m.id1, (hi << 8) | lo))
         start = np.where(is2, 0, np.where(is1, m.w2, start))
         size = np.where(is2, m.w2, np.where(is1, m.w1, size))
-        code -= r * start.astype(_U)
-        rng = r * size.astype(_U)
-        need = np.flatnonzero(rng < _U(1 << 31))
+        start *= rng
+        code -= start
+        rng *= size
+        need = np.flatnonzero(rng < 1 << 31)
         if len(need):
             place = at.take(need)
             w = coded.take(np.minimum(place, end))
-            code[need] = (code.take(need) << _U(32)) | (spare.take(need) << _U(31)) | (w >> _U(1))
-            spare[need] = w & _U(1)
+            code[need] = (code.take(need) << 32) | (spare.take(need) << 31) | (w >> 1)
+            spare[need] = w & 1
             at[need] = place + 1
-            rng[need] = rng.take(need) << _U(32)
+            rng[need] = rng.take(need) << 32
         out[step] = x
         m.update(x, m.base_hi + (x >> 8))
         if m.due():
@@ -220,11 +225,17 @@ def _decode(coded: np.ndarray, at: np.ndarray, alphabet: int, n_steps: int) -> n
 #: Encoded words remembered in a worker; later ones are encoded as they come.
 MEMO = 700_000
 _MARK = "<|endoftext|>"
+#: ASCII marks at the end of a word that always start a pre-token of their own after an ASCII letter or digit.
+_TAIL = b".,;:!?#*$%&"
+_ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
 
 class WordEncoder:
     """Ids of whole texts, as the library gives them. The pre-tokenizer drops white space and never crosses
-    it, so a text is the sequence of its parts between ASCII blanks; each part is encoded once and remembered."""
+    it, so a text is the sequence of its parts between ASCII blanks; each part is encoded once and remembered.
+
+    The normalizer lower-cases, so ASCII capitals may be lowered before; not where marks that compose with
+    letters (U+0300 to U+036F) could make one character of a capital, nor where a special string could arise."""
 
     def __init__(self, path: str):
         from .token_counts import tokenizer
@@ -233,31 +244,49 @@ class WordEncoder:
         self.mark = self.t.token_to_id(_MARK)
         self.memo: dict[bytes, bytes] = {}
 
-    def _encode(self, parts: list[bytes]) -> dict[bytes, bytes]:
-        out, plain = {}, []
+    def _parts(self, text: bytes) -> list[bytes]:
+        return (text if b"<|" in text or b"\xcc" in text or b"\xcd" in text else text.lower()).split()
+
+    def _encode(self, parts: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of each part and of whatever it was taken apart into."""
+        out, whole, plain = {}, {}, set()
         for p in parts:
-            s = p.decode("utf-8", "replace")
-            if any(x in s for x in self.special):
-                out[p] = np.array(self.t.encode(s, add_special_tokens=False).ids, "<u2").tobytes()
+            if b"<|" in p:
+                s = p.decode("utf-8", "replace")
+                if any(x in s for x in self.special):
+                    out[p] = np.array(self.t.encode(s, add_special_tokens=False).ids, "<u2").tobytes()
+                    continue
+            head = p.rstrip(_TAIL)
+            if len(head) < len(p) and head and head[-1] in _ALNUM:
+                whole[p] = head, p[len(head) :]
             else:
-                plain.append((p, s))
-        for at in range(0, len(plain), 1000):
-            some = plain[at : at + 1000]
-            ids = np.array(self.t.encode(f" {_MARK} ".join([s for _, s in some]), add_special_tokens=False).ids)
-            cuts = np.flatnonzero(ids == self.mark).tolist()
-            small = ids.astype("<u2")
-            for (p, _), a, b in zip(some, [0, *(c + 1 for c in cuts)], [*cuts, len(ids)]):
-                out[p] = small[a:b].tobytes()
+                plain.add(p)
+        for pair in whole.values():
+            plain.update(pair)
+        memo = self.memo
+        fresh = [p for p in plain if p not in memo]
+        for at in range(0, len(fresh), 1000):
+            some = fresh[at : at + 1000]
+            text = b" <|endoftext|> ".join(some).decode("utf-8", "replace")
+            ids = np.array(self.t.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
+            cuts = (2 * np.flatnonzero(ids == self.mark)).tolist()
+            small = ids.tobytes()
+            for p, a, b in zip(some, [0, *(c + 2 for c in cuts)], [*cuts, len(small)]):
+                out[p] = small[a:b]
+        for p, (head, tail) in whole.items():
+            out[p] = (out.get(head) or memo[head]) + (out.get(tail) or memo[tail])
         return out
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Ids as little-endian unsigned 16-bit integers."""
-        memo, parts = self.memo, [t.split() for t in texts]
-        found = [list(map(memo.get, p)) for p in parts]
-        fresh = self._encode(list({x for p, ids in zip(parts, found) for x, i in zip(p, ids) if i is None}))
-        if len(memo) < MEMO:
-            memo.update(fresh)
-        return [b"".join([fresh[x] if i is None else i for x, i in zip(p, ids)]) for p, ids in zip(parts, found)]
+        memo, parts = self.memo, [self._parts(t) for t in texts]
+        fresh = self._encode(set().union(*parts) - memo.keys())
+        memo.update(fresh)
+        found = [b"".join(map(memo.__getitem__, p)) for p in parts]
+        if len(memo) > MEMO:
+            for p in fresh:
+                del memo[p]
+        return found
 
 
 _encoders = cache()
