@@ -230,6 +230,14 @@ _TAIL = b".,;:!?#*$%&"
 _ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
 
+def _is_word(p: bytes) -> bool:
+    """Whether p is one run of small Latin letters: normal form and pre-tokenizer leave it whole, and its last id alone ends a word."""
+    if p.isascii():
+        return p.isalpha() and p.islower()
+    s = p.decode("utf-8", "replace")
+    return s.isalpha() and max(s) < "\u0250" and s == s.lower()
+
+
 class WordEncoder:
     """Ids of whole texts, as the library gives them. The pre-tokenizer drops white space and never crosses
     it, so a text is the sequence of its parts between ASCII blanks; each part is encoded once and remembered.
@@ -243,6 +251,13 @@ class WordEncoder:
         self.t, _, self.special = tokenizer(path)
         self.mark = self.t.token_to_id(_MARK)
         self.memo: dict[bytes, bytes] = {}
+        # the same model without normalizer and pattern, for words that both leave as they are
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.bare = Tokenizer(self.t.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.last = np.zeros(self.t.get_vocab_size(), bool)
+        self.last[[i for x, i in self.t.get_vocab(with_added_tokens=False).items() if x.endswith("</w>")]] = True
 
     def _parts(self, text: bytes) -> list[bytes]:
         return (text if b"<|" in text or b"\xcc" in text or b"\xcd" in text else text.lower()).split()
@@ -251,6 +266,9 @@ class WordEncoder:
         """Ids of each part and of whatever it was taken apart into."""
         out, whole, plain = {}, {}, set()
         for p in parts:
+            if p.isalpha():
+                plain.add(p)
+                continue
             if b"<|" in p:
                 s = p.decode("utf-8", "replace")
                 if any(x in s for x in self.special):
@@ -263,20 +281,26 @@ class WordEncoder:
                 plain.add(p)
         for pair in whole.values():
             plain.update(pair)
-        memo = self.memo
-        fresh = [p for p in plain if p not in memo]
-        for at in range(0, len(fresh), 1000):
-            some = fresh[at : at + 1000]
-            text = b" <|endoftext|> ".join(some).decode("utf-8", "replace")
-            ids = np.array(self.t.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
-            cuts = (2 * np.flatnonzero(ids == self.mark)).tolist()
-            small = ids.tobytes()
-            for p, a, b in zip(some, [0, *(c + 2 for c in cuts)], [*cuts, len(small)]):
-                out[p] = small[a:b]
+        memo, words, other = self.memo, [], []
+        for p in plain:
+            if p not in memo:
+                (words if _is_word(p) else other).append(p)
+        self._cut(out, words, b" ", self.bare, self.last, 0)
+        self._cut(out, other, b" <|endoftext|> ", self.t, np.arange(len(self.last)) == self.mark, 2)
         for p, (head, tail) in whole.items():
             out[p] = (out.get(head) or memo[head]) + (out.get(tail) or memo[tail])
         return out
 
+    @staticmethod
+    def _cut(out: dict[bytes, bytes], parts: list[bytes], between: bytes, t, stops: np.ndarray, width: int) -> None:
+        """Encode parts a thousand at a time; each ends after an id of stops (width 0) or before it (width 2 bytes)."""
+        for at in range(0, len(parts), 1000):
+            some = parts[at : at + 1000]
+            ids = np.array(t.encode_batch_fast([between.join(some).decode("utf-8", "replace")], add_special_tokens=False)[0].ids, "<u2")
+            cuts = (2 * np.flatnonzero(stops[ids]) + (2 - width)).tolist()
+            small = ids.tobytes()
+            out.update(zip(some, [small[a:b] for a, b in zip([0, *(c + width for c in cuts)], [*cuts, len(small)])]))
+
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Ids as little-endian unsigned 16-bit integers."""
         memo, parts = self.memo, [self._parts(t) for t in texts]
