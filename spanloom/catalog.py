@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from spanloom.plans.oracle import ORACLE
+from spanloom.plans import more, oracle
 from spanloom.plans.queries import QUERIES
 
 FLAGSHIP = "rescue_marks"
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return QUERIES | more.QUERIES
 
 
 def oracle_sql() -> dict:
-    return dict(ORACLE)
+    return oracle.ORACLE | more.ORACLE

@@ -75,6 +75,26 @@ def locate(text: str | Column, quote: str | Column) -> Column:
     return F.when(F.coalesce(F.length(quote), F.lit(0)) == 0, None).when(at > 0, exact).when((F.length(bare) > 0) & (j > 0), loose)
 
 
+def trimmed(text: str | Column, s: str | Column, e: str | Column) -> Column:
+    """The span without white space at its ends; null stays null, and a span of white space alone ends where it starts."""
+    text, s, e = col(text), col(s), col(e)
+    inner = F.substr(text, s + 1, e - s)
+    left = F.length(F.regexp_extract(inner, r"(?U)^\s*", 0))
+    right = F.length(F.regexp_extract(F.substr(inner, left + 1), r"(?U)\s*$", 0))
+    return F.when(s.isNotNull(), F.struct((s + left).cast("int").alias("s"), (e - right).cast("int").alias("e")))
+
+
+def joined_lines(lines: str | Column) -> Column:
+    """Lines as one text: nothing between two Hangul syllables or after white space, else one blank. Empty lines don't count."""
+    hangul = "[\uac00-\ud7a3]"
+
+    def step(a: Column, x: Column) -> Column:
+        tight = (a.rlike(f"{hangul}$") & x.rlike(f"^{hangul}")) | a.rlike(r"(?U)\s$") | (a == "")
+        return F.concat(a, F.when(tight, "").otherwise(" "), x)
+
+    return F.aggregate(F.filter(col(lines), lambda x: F.length(x) > 0), F.lit(""), step)
+
+
 def readable(text: str | Column, s: str | Column, e: str | Column, whole_below: int = 70) -> Column:
     """A short text whole, else the sentence around a span, else, if that is over 160 wide, 20 on either side."""
     text, s, e = col(text), col(s), col(e)
