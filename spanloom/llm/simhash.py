@@ -14,14 +14,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, checkpoint, claim, encoded, materialise
+from .common import bound_batches, checkpoint, encoded, materialise
 from .components import connected_components
+from .shingle_join import similar_components
 
 BITS = 64
 #: Shingles hashed at a time within one text.
 CHUNK = 1 << 16
-#: Members of a bucket that one task compares at once.
-BLOCK = 1024
 
 
 def covering_masks(places: list[int], radius: int) -> list[int]:
@@ -161,120 +160,11 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Bits of the wide SimHash from which similarity is estimated, and the half standard error granted to it.
-WIDE, SLACK = 256, 3
-
-
-def wide_simhash(text: bytes, k: int) -> tuple[int, tuple[int, int, int, int]]:
-    """(fingerprint of the distinct words, 256-bit SimHash of the distinct k-word shingles)."""
-    words = text.lower().split()
-    if not words:
-        return 0, (0, 0, 0, 0)
-    total = np.zeros(BITS, np.int64)
-    n = _votes([xxhash.xxh64_intdigest(w, 42) for w in set(words)], total)
-    narrow = int(np.packbits(total * 2 > n, bitorder="little").view("<u8")[0])
-    line, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words])
-    m = min(k, len(words))
-    shingles = zip([0, *ends[: len(words) - m].tolist()], (ends[m - 1 :] - 1).tolist())
-    h = np.unique(np.fromiter((xxhash.xxh3_64_intdigest(line[a:b]) for a, b in shingles), np.uint64, len(words) - m + 1))
-    votes = np.zeros(WIDE, np.int64)
-    for at in range(0, len(h), CHUNK):
-        x = h[at : at + CHUNK, None] + np.arange(1, 5, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-        votes += np.unpackbits(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), 32), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    wide = np.packbits(votes * 2 > len(h), bitorder="little").view("<u8")
-    return narrow, tuple(int(x) for x in wide)
-
-
-def differing_bits(similarity: float) -> int:
-    """Bits of the wide SimHash in which two equally large shingle sets of this Jaccard similarity differ on average."""
-    return round(WIDE * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-
-
-def _wide(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    bound_batches(docs.sparkSession)
-
-    def run(batches):
-        claim("simhash")
-        for b in batches:
-            rows = [wide_simhash(encoded(t.as_py()), k) for t in b.column(1)]
-            cols = [pa.array([_signed(r[0]) for r in rows], pa.int64()), *(pa.array([_signed(r[1][j]) for r in rows], pa.int64()) for j in range(4))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "fp", "w0", "w1", "w2", "w3"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long, w0 long, w1 long, w2 long, w3 long")
-
-
-def _similar_in_groups(groups: DataFrame, most: int) -> DataFrame:
-    """groups: a list column ``m`` of (id, w0..w3). A link from each member to the smallest id it reaches in the group."""
-
-    def run(batches):
-        claim("simhash")
-        for b in batches:
-            out = []
-            for x in b.column("m"):
-                v = x.values
-                ids = v.field("id").to_numpy()
-                w = np.stack([v.field(f"w{j}").to_numpy().view(np.uint64) for j in range(4)], axis=1)
-                label, near = ids.copy(), []
-                for a in range(0, len(ids), 128):
-                    near.append(np.bitwise_count(w[a : a + 128, None, :] ^ w[None, :, :]).sum(axis=2, dtype=np.int32) <= most)
-                near = np.concatenate(near)
-                while True:
-                    new = np.array([label[row].min() for row in near])
-                    if (new == label).all():
-                        break
-                    label = new
-                out.append((ids, label))
-            ids, label = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(label)], ["a", "b"])
-
-    return groups.mapInArrow(run, "a long, b long")
-
-
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, radius: int = 6) -> DataFrame:
-    """``(doc_id, component_id)``: texts joined by links of an estimated similarity of k-word shingles of at least ``similarity``.
-
-    Candidates: texts whose 64-bit fingerprints of distinct words differ in at most ``radius`` bits, all of
-    which a covering of 2^(radius+1) - 1 masks finds. Links: those whose 256-bit SimHashes of shingles differ
-    in no more bits than such a similarity makes likely. Equal fingerprints are one node. Members of a bucket
-    are compared BLOCK at a time; of a larger one, each block's group heads meet again until they fit in one.
-    Rows without an id are left out. Texts without words are equal to each other.
-    """
-    most = differing_bits(similarity) + SLACK
-    wide = materialise(_wide(docs.where(F.col(id_col).isNotNull()), id_col, text_col, k), "wide")
-    prints = ["fp", "w0", "w1", "w2", "w3"]
-    nodes = checkpoint(wide.groupBy(*prints).agg(F.min("doc_id").alias("id")))
-    keys = F.array(*[F.xxhash64(F.lit(t), _keep(m)) for t, m in enumerate(covering_masks(list(range(BITS)), radius))])
-    keyed = nodes.select("id", F.explode(keys).alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = checkpoint(keyed.join(buckets, "key").join(nodes.drop("fp"), "id"))
-    chunk = F.when(F.col("n") > BLOCK, F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / (BLOCK // 2)))).otherwise(0)
-    grouped = lambda m: m.groupBy("key", chunk.alias("chunk")).agg(F.collect_list(F.struct("id", "w0", "w1", "w2", "w3")).alias("m")).where(F.size("m") > 1).select("m")
-    links = checkpoint(_similar_in_groups(grouped(members), most).where("a <> b").distinct())
-    crowded, before = members.where(F.col("n") > BLOCK).drop("n"), None
-    while True:
-        # heads of what the blocks have joined, by bucket
-        heads = links.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("head"))
-        crowded = crowded.join(heads.where("head <> id"), "id", "left_anti")
-        sizes = crowded.groupBy("key").agg(F.count("*").alias("n"))
-        crowded = checkpoint(crowded.join(sizes, "key"))
-        left = crowded.count()
-        if not left or left == before:
-            break
-        links = checkpoint(links.unionByName(_similar_in_groups(grouped(crowded), most).where("a <> b")).distinct())
-        crowded, before = crowded.where(F.col("n") > BLOCK).drop("n"), left
-    roots = connected_components(links)
-    named = nodes.join(roots, nodes["id"] == roots["node"], "left").select(*prints, F.coalesce("root", "id").alias("component_id"))
-    return wide.join(named, prints).select("doc_id", "component_id")
-
-
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without all but one document, that of the smallest id, of each group of near copies.
 
-    Rows with one id are one document. Rows without an id stay, as nothing names them.
+    Groups are joined by pairs whose similarity is counted exactly, see shingle_join; a radius on fingerprints
+    misses some of them. Rows with one id are one document. Rows without an id stay, as nothing names them.
     """
     found = similar_components(docs, id_col, text_col, k, similarity)
     keep = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()

@@ -101,6 +101,27 @@ def test_near_copies_keep_one_of_each_group(spark):
     assert sorted(x["doc_id"] for x in got.collect()) == [0, 1, 2, 3, 4, 5]
 
 
+def test_near_copies_equal_brute_force_jaccard(spark):
+    r = random.Random(21)
+    texts = []
+    for i in range(40):
+        b = words(r, r.randint(60, 300), 20_000).split()
+        texts.append(b)
+        for _ in range(4):
+            # replaced words and added passages, so that similarities lie on both sides of 0.8
+            c, n = list(b), len(b)
+            for at in r.sample(range(n), r.randint(0, max(1, n // 35))):
+                c[at] = "changed"
+            at = r.randrange(n)
+            texts.append(c[:at] + words(r, r.randint(0, n // 4), 20_000).split() + c[at:])
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    j = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(len(sets)) for b in range(a)}
+    assert sum(0.75 <= x < 0.8 for x in j.values()) > 10 and sum(0.8 <= x < 0.85 for x in j.values()) > 10
+    want = roots_of(range(len(texts)), [p for p, x in j.items() if x >= 0.8])
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {x["doc_id"]: x["component_id"] for x in simhash.similar_components(d).collect()} == want
+
+
 @pytest.mark.parametrize("hot", [20_000, 1])
 def test_suffix_dedup_equals_brute_force(spark, docs, empty, hot):
     w = 130
