@@ -21,9 +21,12 @@ from .components import connected_components
 
 #: Texts from which common shingles are learnt, in how many of them one is common, and how many are told apart.
 SAMPLE, COMMON, MAX_COMMON = 8_000, 3, 100_000
-#: Pairs a member of a bucket may have on average before pivots are tried first; and rounds of pivots. All pairs come after.
-DENSE, ROUNDS = 8, 6
+#: Pairs a member of a bucket may have on average before pivots are tried first, for as many rounds at most as
+#: each halves what is open. All pairs come after.
+DENSE, ROUNDS = 64, 6
 EPS = 1e-6
+#: Bytes of texts and their shingles that a task remembers while it verifies.
+HELD = 32 << 20
 
 
 def shingles(text: bytes, k: int) -> np.ndarray:
@@ -88,14 +91,20 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, similarity: float) -> Da
 
     def run(batches):
         claim("shingles")
-        last, left = None, None
+        held, room = {}, HELD
+
+        def of(text):
+            nonlocal room
+            if text not in held:
+                if room < 0:
+                    held.clear()
+                    room = HELD
+                held[text] = shingles(text, k)
+                room -= len(text) + held[text].nbytes
+            return held[text]
+
         for batch in batches:
-            ok = []
-            for a, s, t in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
-                s = encoded(s.as_py())
-                if (a, s) != last:
-                    last, left = (a, s), shingles(s, k)
-                ok.append(similar(left, shingles(encoded(t.as_py()), k), similarity))
+            ok = [similar(of(encoded(s.as_py())), of(encoded(t.as_py())), similarity) for s, t in zip(batch.column(2), batch.column(3))]
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     right = pairs.join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("t")), "b")
@@ -118,15 +127,15 @@ def similar_links(nodes: DataFrame, docs: DataFrame, k: int, similarity: float)
     keyed = nodes.select("id", "size", F.posexplode("prefix").alias("at", "key")).select("key", "id", "size", (F.col("size") - F.col("at")).alias("left"))
     shared = keyed.groupBy("key").count().where("count > 1").select("key")
     members = materialise(keyed.join(shared, "key"), "buckets").withColumn("comp", F.col("id"))
-    links, before = None, None
+    links, before = None, math.inf
     for round_ in range(ROUNDS + 1):
         parts = members.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("joined"), F.count("*").alias("comps")).where("comps > 1")
         parts = checkpoint(parts)
         n, open_ = parts.agg(F.sum("n"), F.sum(F.col("n") * F.col("n") - F.col("joined")) / 2).first()
         members = members.join(parts.select("key"), "key", "left_semi")
-        if not n or open_ <= DENSE * n or open_ == before or round_ == ROUNDS:
+        if not n or open_ <= DENSE * n or 2 * open_ > before or round_ == ROUNDS:
             break
-        before = open_
+        before = float(open_)
         m = F.struct("id", "size", "left", "comp")
         pivots = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(round_)).alias("h"), m.alias("x")))["x"].alias("x"))
         pairs = members.select("key", m.alias("y")).join(pivots, "key").where((F.col("x.comp") != F.col("y.comp")) & _may("x", "y", similarity))

@@ -122,6 +122,34 @@ def test_near_copies_equal_brute_force_jaccard(spark):
     assert {x["doc_id"]: x["component_id"] for x in simhash.similar_components(d).collect()} == want
 
 
+def test_crowded_buckets_are_compared_whole(spark):
+    # a template makes 5 in 6 words of most texts: pairs fall on both sides of 0.8, and some are twins
+    r, template = random.Random(22), words(random.Random(23), 100, 5000).split()
+    texts = [template[: r.randint(88, 100)] + words(r, r.randint(8, 14), 10**6).split() for _ in range(2500)]
+    texts += [t[:-1] + ["twin"] for t in r.sample(texts, 150)]
+    # shuffled parts of the template: thousands that share shingles, and are no copies
+    parts = [template[i : i + 10] for i in range(0, 100, 10)]
+    for _ in range(500):
+        r.shuffle(parts)
+        texts.append(sum(parts, []) + words(r, 10, 10**6).split())
+    r.shuffle(texts)
+    ids, rows = {}, np.zeros((len(texts), 125), np.int64) - 1
+    for i, t in enumerate(texts):
+        s = {tuple(t[k : k + 5]) for k in range(len(t) - 4)}
+        rows[i, : len(s)] = [ids.setdefault(x, len(ids)) for x in s]
+    n, held = (rows >= 0).sum(axis=1), collections.defaultdict(list)
+    for i, k in zip(*np.nonzero(rows >= 0)):
+        held[rows[i, k]].append(i)
+    both = np.zeros((len(texts), len(texts)), np.int16)
+    for members in held.values():
+        if len(members) > 1:
+            both[np.ix_(members, members)] += 1
+    near = np.argwhere(np.triu(both >= 0.8 * (n[:, None] + n[None, :] - both) - 1e-9, 1)).tolist()
+    want = roots_of(range(len(texts)), near)
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert len(set(want.values())) > 500 and {x["doc_id"]: x["component_id"] for x in simhash.similar_components(d).collect()} == want
+
+
 @pytest.mark.parametrize("hot", [20_000, 1])
 def test_suffix_dedup_equals_brute_force(spark, docs, empty, hot):
     w = 130
