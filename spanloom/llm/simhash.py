@@ -24,9 +24,13 @@ CHUNK = 1 << 16
 
 
 def covering_masks(places: list[int], radius: int) -> list[int]:
-    """Masks over the given bit places such that any two words within the radius agree under one of them."""
+    """Masks over the given bit places such that any two words within the radius agree under one of them.
+
+    With fewer places than vectors the largest vectors are dealt: those with the top bit set are an affine
+    space, on which every mask keeps half of the places or all, so that none is left with a bit or two.
+    """
     n = (1 << (radius + 1)) - 1
-    vector = {p: i % n + 1 for i, p in enumerate(places)}
+    vector = {p: i % n + 1 if len(places) >= n else n - i for i, p in enumerate(places)}
     return [sum(1 << p for p in places if (vector[p] & v).bit_count() & 1) for v in range(1, n + 1)]
 
 

@@ -89,6 +89,14 @@ def test_covering_masks_let_every_pair_within_the_radius_meet():
         assert any(not m & diff for m in masks)
 
 
+def test_covering_masks_keep_many_places():
+    for places, radius in [(64, 6), (64, 2), (40, 6), (28, 2)]:
+        masks = simhash.covering_masks(list(range(places)), radius)
+        # all pairs of places: a difference of two bits is masked out by some table
+        assert all(any(not m & (1 << a | 1 << b) for m in masks) for a in range(places) for b in range(a))
+        assert min(m.bit_count() for m in masks) >= places // 5
+
+
 def test_near_copies_keep_one_of_each_group(spark):
     r = random.Random(3)
     base = [words(r, 200, 5000).split() for _ in range(6)]
