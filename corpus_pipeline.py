@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import decontaminate, importance, sentencepiece_codec, simhash, suffix_dedup
-from spanloom.llm.common import materialise, table
+from spanloom.llm.common import NON_WORD, materialise, table
 from spanloom.llm.queries import tokenizer_file
 
 #: Bytes of a passage that counts as repeated: fewer than the fifty-one shortest usual words take.
@@ -43,9 +43,16 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of whose words at least a twentieth lie in windows of benchmark items."""
-    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
-    leaked = found.where("n_hit > 0 and 20 * n_hit >= n_words and doc_id is not null").select("doc_id").distinct()
+    """Drop documents with a full window of a benchmark item, however long they are.
+
+    Items of fewer words than a window are common phrases too: they count where at least a twentieth of a
+    document's words lie in them.
+    """
+    items = table(spark, sf_dir, "benchmark", "item_id", "text")
+    n_words = F.size(F.array_remove(F.split("text", f"[{NON_WORD}]+"), ""))
+    full = decontaminate.find_contamination(docs, items.where(n_words >= decontaminate.WINDOW)).where("n_hit > 0")
+    short = decontaminate.find_contamination(docs, items.where(n_words < decontaminate.WINDOW)).where("n_hit > 0 and 20 * n_hit >= n_words")
+    leaked = full.select("doc_id").unionByName(short.select("doc_id")).where("doc_id is not null").distinct()
     return docs.join(leaked, "doc_id", "left_anti")
 
 

@@ -308,6 +308,18 @@ def test_decontamination(spark, empty, chars):
     assert decontaminate.find_contamination(empty, b).count() == 0
 
 
+def test_pipeline_drops_every_full_benchmark_window(spark, tmp_path):
+    import corpus_pipeline as P
+
+    r = random.Random(24)
+    items = [(1, words(r, 20, 10**6)), (2, "short item of five words"), (3, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    plain, item = words(r, 1500, 10**6), items[0][1].split()
+    rows = [(1, plain), (2, f"{plain} {items[0][1]}"), (3, f"{' '.join(item[3:16]).upper()}. {plain}"), (4, f"{' '.join(item[3:15])} {plain}"), (5, f"{plain} {items[1][1]}"), (6, f"{words(r, 20, 10**6)} {items[1][1]}"), (7, None)]
+    left = P.benchmark_leaks(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
+    assert sorted(x["doc_id"] for x in left.collect()) == [1, 4, 5, 7]
+
+
 def test_licenses(spark, empty):
     rows = [(1, "Text.\nReleased under the MIT License."), (2, "GNU General  Public-License and Apache license; cc by"), (3, None), (4, "license cc"), (5, "x\nAll RIGHTS reserved.\nno"), (6, "Licensed under CC BY-NC 4.0.")]
     got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
