@@ -1,4 +1,6 @@
-"""License scans with Spark expressions only: exact phrases, and a set-similarity join of lines with templates.
+"""License scans with Spark expressions only: exact phrases, and a set-similarity join of text blocks with templates.
+
+Text blocks are the lines, and the paragraphs (runs of non-blank lines) of more than one line.
 
 A line and a template match if the line holds at least ``threshold`` of the template's distinct words. The
 join is exact. Words are put in one order for all, rarest first by how many texts have them. A line that
@@ -16,7 +18,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_WORD, materialise
+from .common import BLANKS, NON_WORD, materialise
 
 #: Phrases and their labels.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -64,8 +66,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Null text is empty. Words are judged in lower case. base: places where a phrase's words stand in
     sequence; first_word and last_word are null without one. labels: those of the phrases and of every
-    template that a line reaches. score: 1 with a phrase, else the best containment of a template that a
-    line reaches, else 0. blocks: (line number, label, containment) of every such line and template.
+    template that a line or a paragraph reaches. score: 1 with a phrase, else the best containment of a template that one
+    reaches, else 0. blocks: (line number, label, containment) of every such line and template.
     The templates are a fixed list, so what is broadcast doesn't grow. Repeated rows count as rows.
     """
     sets = template_sets(templates)
@@ -91,6 +93,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     none = F.expr("cast(array() as array<int>)")
     df = lowered.withColumn("starts", F.when(may & F.arrays_overlap("words", _strings(first_words)), F.filter(at, place)).otherwise(none))
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("text")))
+    # a paragraph has a negative number: -1 for the first
+    paragraphs = F.transform(F.split("text", f"\n[{BLANKS}]*\n"), lambda x, i: F.struct((-1 - i).alias("line"), x.alias("text")))
+    lines = F.concat(lines, F.filter(paragraphs, lambda x: x["text"].contains("\n")))
     shown = F.filter(lines, lambda x: F.arrays_overlap(words_of(x["text"]), _strings(prefix)))
     df = df.select(
         "doc_id", F.size("words").cast("long").alias("n_words"), F.transform("starts", lambda i: F.struct((i - 1).cast("long").alias("at"), F.get("words", i - 1).alias("word"))).alias("places"),
@@ -123,5 +128,5 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(
         "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places")["at"].alias("first_word"), F.array_max("places")["at"].alias("last_word"),
         F.array_join("base", ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union("base", more)), ",").alias("labels"),
-        F.when(F.size("places") > 0, 1.0).otherwise(best).alias("score"), "blocks",
+        F.when(F.size("places") > 0, 1.0).otherwise(best).alias("score"), F.filter("blocks", lambda b: b["line"] >= 0).alias("blocks"),
     )

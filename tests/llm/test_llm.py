@@ -339,6 +339,22 @@ def test_license_join_equals_brute_force(spark):
         assert sorted((b["line"], b["label"]) for b in x["blocks"] or []) == want
 
 
+def test_notices_wrapped_over_lines_are_found(spark):
+    import textwrap
+
+    sets, rows = licenses.template_sets(), []
+    for i, (_, text) in enumerate(licenses.TEMPLATES):
+        wrapped = textwrap.fill(text, 30)
+        rows += [(3 * i, f"Plain text.\n \n{wrapped}\n\nmore"), (3 * i + 1, "\r\n".join("# " + x for x in wrapped.split("\n"))), (3 * i + 2, wrapped.replace("\n", "\n\n"))]
+    for x in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        text = dict(rows)[x["doc_id"]].lower()
+        blocks = text.split("\n") + re.split(r"\n\s*\n", text)
+        held = [set(re.findall("[0-9a-z]+", b)) for b in blocks]
+        want = {label for label, s in sets if any(len(h & set(s)) >= 0.8 * len(s) - 1e-9 for h in held)}
+        assert want | set(filter(None, x["base_labels"].split(","))) == set(filter(None, x["labels"].split(",")))
+        assert x["doc_id"] % 3 == 2 or licenses.TEMPLATES[x["doc_id"] // 3][0] in want
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as P
 
