@@ -1,8 +1,17 @@
 """Quality classifier by importance resampling with hashed n-gram models.
 
-Two bag-of-n-grams models over hashed unigrams and bigrams: one of the target (texts labelled good) and one
-of the raw text (every text of the corpus). The weight of a text is the log ratio of its probability under
-the two. Texts are drawn without replacement by Gumbel top-k: those with the k largest perturbed weights.
+Two generative models over hashed unigrams and bigrams: one of the target (texts labelled good) and one of the
+raw text (every whole text of the corpus). Each n-gram falls into one of a fixed number of buckets and every
+bucket has a share in both models; the log ratio of the two is what an n-gram adds to a text's weight. Texts
+are drawn without replacement by Gumbel top-k: those with the k largest of log weight plus Gumbel noise.
+
+Smoothing. Both models add a pseudo-count, in proportion to their sizes. Buckets of so few n-grams that the
+target would be expected to have less than ``unknown`` of them share one class, as words outside the vocabulary
+of a language model do: else each n-gram that only one text has would count against that text.
+
+Length. A sum over a whole text mostly measures its length, and hides a few foreign words in a long one. The
+weight is therefore taken relative to what a target text of the same length has on average, and a text is as
+much like the target as its least likely window of WINDOW tokens, over all windows of the whole text.
 """
 
 from __future__ import annotations
@@ -10,6 +19,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,125 +28,113 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, encoded, materialise
 
-#: Labelled texts that the target model and the choice of n-grams are fitted on at most, in order of a hash of their id.
-MAX_LABELS = 6_000
-#: Hashed n-grams that the models tell apart at most; all others have the same share in both.
-MAX_FEATURES = 20_000
-#: An n-gram counts if its distinct contexts differ between good and other labelled texts by so many standard
-#: deviations, and its shares by so large a factor.
-MIN_Z, MIN_FACTOR = 5.0, 4.0
-#: Weights are divided by this before the Gumbel noise is added: low values draw nearly by rank.
-TEMPERATURE = 0.05
+#: Labelled texts that the target model is fitted on at most, in order of a hash of their id.
+MAX_LABELS = 50_000
+#: log2 of the buckets of unigrams, and of those of bigrams.
+BITS = 20
+#: Pseudo-count of a bucket in the target model, and expected count below which buckets share one class.
+PSEUDO, UNKNOWN = 0.02, 20.0
+#: Tokens of a window, which starts at every half of one.
+WINDOW = 64
+#: Of the good labelled rows that the models were not fitted on, the share whose weight the drawn number is set by.
+KEEP = 0.995
+#: Weights are divided by this before the Gumbel noise is added; 1 draws in proportion to the importance.
+TEMPERATURE = 1.0
 SEED = 42
 _TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+|[^\s0-9a-z\x80-\xff]")
-_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xBF58476D1CE4E5B9)
-#: Tokens hashed at a time within one text; parts overlap.
-CHUNK = 1 << 16
-#: Hash of RUN equal tokens in a row, whatever they are.
-SAME, RUN = np.uint64(1), 5
-
-
-def features(text: bytes):
-    """(hash, context hash) arrays of a text's unigrams and bigrams, part by part, and of its runs of RUN
-    equal tokens. The context is the token before and the one after."""
-    tokens = _TOKEN.findall(text.lower())
-    for at in range(0, len(tokens), CHUNK):
-        lead, own = min(RUN, at), min(CHUNK, len(tokens) - at)
-        h = np.array([zlib.crc32(t) for t in tokens[at - lead : at + own + 1]], np.uint64)
-        # 2 stands before the text and 3 after it
-        h = np.concatenate((np.full(RUN - lead, 2, np.uint64), h, np.full(lead + own + 1 - len(h), 3, np.uint64)))
-        back = lambda k: h[RUN - k : RUN - k + own]
-        here, prev, after = back(0), back(1), back(-1)
-        yield here * _A | SAME, prev * _A ^ after * _B
-        first = int(at == 0)
-        yield ((prev * _A + here) * _B & ~SAME)[first:], (back(2) * _A ^ after * _C)[first:]
-        same = np.logical_and.reduce([here == back(k) for k in range(1, RUN)])
-        yield np.full(int(same.sum()), SAME), here[same] * _A
-
-
-def fit_features(labelled: DataFrame, max_features: int = MAX_FEATURES, min_z: float = MIN_Z, min_factor: float = MIN_FACTOR) -> tuple[np.ndarray, np.ndarray, int]:
-    """Hashes (sorted) of the n-grams that tell good texts from other labelled ones, their counts in the good
-    texts, and the number of n-grams in those. ``labelled``: (text, good).
-
-    Evidence is counted in distinct contexts, so an n-gram that occurs in many copies of one passage counts
-    once. The sums are made in Spark; at most ``max_features`` rows reach the driver.
+_BLANK = re.compile(rb"\s")
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Bytes of a text taken apart at a time; pieces end before white space, which no token crosses.
+PIECE = 1 << 20
+#: Hash that stands before the first token.
+_START = 2
+
+
+def pieces(text: bytes, size: int = PIECE) -> Iterator[bytes]:
+    at = 0
+    while at < len(text):
+        found = _BLANK.search(text, at + size)
+        end = found.start() if found else len(text)
+        yield text[at:end]
+        at = end
+
+
+def buckets(text: bytes, bits: int = BITS) -> np.ndarray:
+    """(2, tokens): the bucket of each token, and of the bigram that ends with it, above those of tokens."""
+    out, last, shift = [], _START, np.uint64(64 - bits)
+    for piece in pieces(text):
+        h = np.array([last, *map(zlib.crc32, _TOKEN.findall(piece.lower()))], np.uint64)
+        last, here, before = int(h[-1]), h[1:], h[:-1]
+        out.append(np.stack(((here * _A) >> shift, (((before * _A + here) * _B) >> shift) + np.uint64(1 << bits))).astype(np.int32))
+    return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int32)
+
+
+def least_window(values: np.ndarray, window: int = WINDOW) -> float:
+    """The smallest sum over a window; over all values if they are fewer."""
+    if len(values) <= window:
+        return float(values.sum())
+    total = np.concatenate(([0.0], np.cumsum(values)))
+    first = np.append(np.arange(0, len(values) - window, max(1, window // 2)), len(values) - window)
+    return float((total[first + window] - total[first]).min())
+
+
+def count_buckets(docs: DataFrame, fitted: DataFrame, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of each bucket over all texts of docs (doc_id, text), and over those whose id is in ``fitted`` (doc_id, distinct).
+
+    One pass over the texts. A task adds up its buckets before the shuffle, and the driver gets a row per bucket.
     """
-
-    def run(batches):
-        for b in batches:
-            for t, good in zip(b.column("text"), b.column("good").to_pylist()):
-                f = [np.concatenate(x) for x in zip(*features(encoded(t.as_py())))]
-                if f:
-                    n = len(f[0])
-                    yield pa.RecordBatch.from_arrays([pa.array(f[0].view(np.int64)), pa.array(f[1].view(np.int64)), pa.array(np.full(n, int(good), np.int32)), pa.array(np.full(n, int(not good), np.int32))], ["f", "c", "good", "bad"])
-
-    bound_batches(labelled.sparkSession)
-    rows = labelled.mapInArrow(run, "f long, c long, good int, bad int")
-    by_context = rows.groupBy("f", "c").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    by_gram = materialise(by_context.groupBy("f").agg(F.sum("good").alias("n"), F.count_if(F.col("good") > 0).alias("g"), F.count_if(F.col("bad") > 0).alias("b")), "grams")
-    total = by_gram.agg(F.sum("n").alias("n"), F.sum("g").alias("g"), F.sum("b").alias("b")).first()
-    if not total["g"] or not total["b"]:
-        return np.zeros(0, np.uint64), np.zeros(0), int(total["n"] or 0)
-    share = total["b"] / (total["g"] + total["b"])
-    e = (F.col("g") + F.col("b")) * share
-    z = (F.col("b") - e) / F.sqrt(e * (1 - share) + 0.5)
-    factor = ((F.col("b") + 0.5) / total["b"]) / ((F.col("g") + 0.5) / total["g"])
-    best = by_gram.withColumn("z", z).where((F.col("z") >= min_z) & (factor >= min_factor)).orderBy(F.desc("z"), "f").limit(max_features).select("f", "n").toPandas()
-    h = best["f"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(h)
-    return h[order], best["n"].to_numpy(float)[order], int(total["n"])
-
-
-def count_features(docs: DataFrame, hashes: np.ndarray) -> DataFrame:
-    """(doc_id, total, places, counts): all n-grams of each whole text, and the chosen ones among them by place in ``hashes``."""
+    size = 2 << bits
     bound_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(hashes)
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        chosen = held.value
+        raw, target = np.zeros(size, np.int64), np.zeros(size, np.int64)
         for b in batches:
-            rows = []
-            for t in b.column("text"):
-                total, places = 0, []
-                for h, _ in features(encoded(t.as_py())):
-                    total += len(h)
-                    if len(chosen):
-                        at = np.minimum(np.searchsorted(chosen, h), len(chosen) - 1)
-                        places.append(at[chosen[at] == h])
-                at, n = np.unique(np.concatenate(places), return_counts=True) if places else ([], [])
-                rows.append((total, at, n))
-            cols = list(zip(*rows)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.int32())), pa.array(cols[2], pa.list_(pa.int64()))], ["doc_id", "total", "places", "counts"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, total long, places array<int>, counts array<long>")
-
-
-def log_weights(docs: DataFrame, labelled: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
-    """(doc_id, weight): log p_target(text) - log p_raw(text) of each row. The raw model counts every text of docs.
-
-    N-grams that were not chosen have the same share in both models and cancel out, so that chance counts of
-    rare n-grams don't add up over a long text. Null or empty text: weight 0. ``labelled``: (text, good).
+            for t, own in zip(b.column("text"), b.column("own").to_pylist()):
+                at, n = np.unique(buckets(encoded(t.as_py()), bits), return_counts=True)
+                raw[at] += n
+                if own:
+                    target[at] += n
+        held = np.flatnonzero(raw)
+        for i in range(0, len(held), 1 << 16):
+            at = held[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
+
+    rows = docs.select("doc_id", "text").join(F.broadcast(fitted.select("doc_id", F.lit(True).alias("own"))), "doc_id", "left").select("text", "own")
+    sums = rows.mapInArrow(run, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    found, raw, target = sums.toArrow(), np.zeros(size), np.zeros(size)
+    at = found.column("bucket").to_numpy()
+    raw[at], target[at] = found.column("raw").to_numpy(), found.column("target").to_numpy()
+    return raw, target
+
+
+def log_ratios(raw: np.ndarray, target: np.ndarray, pseudo: float = PSEUDO, unknown: float = UNKNOWN) -> np.ndarray:
+    """Log of target share over raw share of each bucket, less half of its mean over target tokens, as a token has two n-grams."""
+    if not target.sum():
+        return np.zeros(len(raw))
+    expected = raw * (target.sum() / raw.sum())
+    out, rare = np.log((target + pseudo) / (expected + pseudo)), expected < unknown
+    if rare.any():
+        out[rare] = math.log((target[rare].sum() + pseudo) / (expected[rare].sum() + pseudo))
+    return out - (out * target).sum() / target.sum()
+
+
+def log_weights(docs: DataFrame, fitted: DataFrame, bits: int = BITS, window: int = WINDOW, pseudo: float = PSEUDO, unknown: float = UNKNOWN) -> DataFrame:
+    """(doc_id, weight): log of target over raw probability of each text's least likely window, see above.
+
+    The raw model counts every text of docs, the target model those whose id is in ``fitted``. Null or empty
+    text: weight 0. Ratios (4 bytes for each of the fixed number of buckets) are broadcast.
     """
-    hashes, target, n_target = fit_features(labelled, max_features)
-    counted = materialise(count_features(docs, hashes), "counted")
-    n_raw = counted.agg(F.sum("total")).first()[0] or 0
-    raw = np.zeros(max(1, len(hashes)))
-    pairs = counted.select(F.explode(F.arrays_zip("places", "counts")).alias("x")).groupBy("x.places").agg(F.sum("x.counts").alias("n"))
-    for place, n in pairs.collect():  # one row for each chosen n-gram at most
-        raw[place] = n
-    ratio = np.zeros(max(1, len(hashes)))
-    if len(hashes):
-        ratio = np.log((target + 1) / (n_target + 1)) - np.log((raw + 1) / (n_raw + 1))
-    held = docs.sparkSession.sparkContext.broadcast(ratio)
+    ratios = log_ratios(*count_buckets(docs, fitted, bits), pseudo, unknown).astype(np.float32)
+    held = docs.sparkSession.sparkContext.broadcast(ratios)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
+        ratio = held.value
         for b in batches:
-            w = [float(np.dot(held.value[np.array(p, int)], np.array(n, float))) if p else 0.0 for p, n in zip(b.column("places").to_pylist(), b.column("counts").to_pylist())]
+            w = [least_window(ratio[buckets(encoded(t.as_py()), bits)].sum(axis=0, dtype=np.float64), window) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(w, pa.float64())], ["doc_id", "weight"])
 
-    return counted.select("doc_id", "places", "counts").mapInArrow(run, f"doc_id {kind}, weight double")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, weight double")
 
 
 def perturbed(weights: DataFrame, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
@@ -178,39 +176,36 @@ def gumbel_top_k(weights: DataFrame, k: int, temperature: float = TEMPERATURE, s
     return keyed.withColumn("kept", F.col("key") >= least)
 
 
-def best_threshold(weights: DataFrame, labels: DataFrame, keep: float = 0.99, bins: int = 2000) -> float:
-    """The weight that splits the labelled rows best, of those that keep at least ``keep`` of the good ones.
+def split_labels(labels: DataFrame, max_labels: int = MAX_LABELS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, good), one row per id: the good ones that the target model is fitted on, and those that set the number to draw.
 
-    Best: the largest difference between the shares of good and of other rows at or above it. Weights are
-    counted in ``bins`` ranges between -50 and 0, so the driver sees no rows. 0 labelled rows: keep all.
+    Half of the ids, by a hash, goes to either. A row of labels with a null doesn't count; an id is good if all of
+    its rows have quality 1 and are not toxic.
     """
-    known = weights.join(labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("good").alias("good")), "doc_id")
-    at = F.floor((F.greatest(F.lit(-50.0), F.least(F.lit(0.0), F.col("weight"))) + 50) * (bins / 50))
-    rows = known.groupBy(at.alias("at")).agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b")).collect()
-    good, bad = sum(r["g"] for r in rows), sum(r["b"] for r in rows)
-    if not good or not bad:
-        return -math.inf
-    best, g, b = (0.0, -math.inf), good, bad
-    for r in sorted(rows, key=lambda r: r["at"]):
-        if g / good >= keep and g / good - b / bad > best[0]:
-            best = (g / good - b / bad, r["at"] * 50 / bins - 50 if r["at"] else -math.inf)
-        g, b = g - r["g"], b - r["b"]
-    return best[1]
-
-
-def classify(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
-    """(doc_id, weight, key, kept) for every row of docs (doc_id, text).
-
-    ``labels`` has doc_id, quality, toxic; good means quality 1 and not toxic, and rows with a null are
-    ignored. Both models are fitted on at most ``max_labels`` labelled texts for the target and on every text
-    for the raw side. k, the number drawn, is the number of rows whose weight reaches the threshold that
-    splits the labelled rows best. Without labels of both kinds all rows are kept. Rows with equal ids are
-    drawn each by their own weight; an empty table gives no rows.
+    known = labels.where("doc_id is not null and quality is not null and toxic is not null")
+    known = known.groupBy("doc_id").agg(F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    return known.where(half & F.col("good")).orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(max_labels), known.where(~half)
+
+
+def number_to_draw(weights: DataFrame, held_out: DataFrame, keep: float = KEEP) -> int:
+    """Rows whose weight is at least that which ``keep`` of the held-out good rows reach; all rows without held-out rows of both kinds."""
+    known = weights.join(held_out, "doc_id")
+    good = known.where("good").select("weight")
+    n_good, n_bad = known.agg(F.count_if("good"), F.count_if(~F.col("good"))).first()
+    least = kth_largest(good, "weight", max(1, math.ceil(keep * n_good))) if n_good and n_bad else None
+    return weights.count() if least is None else weights.where(F.col("weight") >= least).count()
+
+
+def classify(docs: DataFrame, labels: DataFrame, k: int | None = None, max_labels: int = MAX_LABELS, temperature: float = TEMPERATURE, seed: int = SEED, **model) -> DataFrame:
+    """(doc_id, weight, key, kept) for every row of docs (doc_id, text): the k rows that are drawn have ``kept``.
+
+    ``labels`` has doc_id, quality, toxic. k is the number of rows to draw; without one it is set by labelled
+    rows that the models were not fitted on, see number_to_draw(). ``model``: bits, window, pseudo, unknown of
+    log_weights(). Extra columns are ignored. Without labels of both kinds all rows are kept. Null and empty
+    texts have weight 0. Rows with equal ids get the same noise and are drawn each by their own weight; rows
+    with a null id are drawn like others. Ties at the k-th place are all kept. An empty table gives no rows.
     """
-    labels = labels.where("doc_id is not null and quality is not null and toxic is not null").select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
-    some = labels.orderBy(F.xxhash64("doc_id"), "doc_id", "good").limit(max_labels)
-    labelled = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "good")
-    weights = materialise(log_weights(docs, labelled), "weights")
-    least = best_threshold(weights, labels)
-    k = weights.where(F.col("weight") >= least).count()
-    return gumbel_top_k(weights, k, temperature, seed)
+    fitted, held_out = split_labels(labels.select("doc_id", "quality", "toxic"), max_labels)
+    weights = materialise(log_weights(docs, fitted, **model), "weights")
+    return gumbel_top_k(weights, number_to_draw(weights, held_out) if k is None else k, temperature, seed)
