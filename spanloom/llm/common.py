@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII blanks of the word pattern ``[^\\x20\\x09-\\x0D]+``; ``bytes.split()`` uses the same set.
 BLANKS = "\\x20\\x09-\\x0D"
@@ -26,6 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files make fewer partitions than there are; larger tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small in bytes, so that long texts don't add up in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
@@ -33,10 +41,13 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where that is unset, a temporary one, but only
+    if driver and executors are one machine, as in tests; on a cluster that is an error."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spanloom-')}"
         sc.setCheckpointDir(found)
     elif not sc.getCheckpointDir():
@@ -58,6 +69,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def packed(docs: DataFrame, id_col: str, text_col: str, whole: bool) -> Column:
+    """All columns of docs as one struct, or only the id and the text: names inside a struct clash with nothing."""
+    return F.struct(*[F.col(f"`{c}`") for c in (docs.columns if whole else (id_col, text_col))])
+
+
 def encoded(value) -> bytes:
     """UTF-8 bytes of an Arrow string value; null counts as empty."""
     return b"" if value is None else value.encode("utf-8", "surrogatepass")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, claim, encoded, materialise
+from .common import bound_batches, claim, encoded, materialise, packed
 
 GRAM = 64
 #: Window starts treated at a time within a text; positions in a block fit into 20 bits.
@@ -30,6 +30,8 @@ SHALLOW, STEP = 128, 64
 SORT_ROWS = 4096
 #: Groups with more anchors than this are settled by counting hashes of their windows, with map-side sums.
 HOT = 20_000
+#: Parts that the occurrences of a window are dealt to when they meet its count, so that a common one makes no hot task.
+SALT = 16
 _PLACE = np.uint64((1 << 20) - 1)
 
 
@@ -277,9 +279,9 @@ def _counted_spans(contexts: DataFrame, window: int) -> DataFrame:
                 s = [q - a for q in qs for a in range(lo, hi + 1)]
                 yield pa.RecordBatch.from_arrays([pa.array(ws * len(qs), pa.binary()), pa.array([rid] * len(s)), pa.array([did] * len(s)), pa.array(s, pa.int64())], ["w", "rid", "did", "s"])
 
-    w = contexts.mapInArrow(run, f"w binary, {_REF}, s long")
-    again = w.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
-    return w.join(again, "w").select("rid", "did", "s", (F.col("s") + window).alias("e"))
+    w = contexts.mapInArrow(run, f"w binary, {_REF}, s long").withColumn("part", F.pmod(F.xxhash64("rid", "did", "s"), F.lit(SALT)).cast("int"))
+    again = w.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("part"))
+    return w.join(again, ["w", "part"]).select("rid", "did", "s", (F.col("s") + window).alias("e"))
 
 
 def _cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:
@@ -296,43 +298,54 @@ def _cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[i
     return b"".join([*kept, text[at:]]), [(s, e) for s, e in runs]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400, hot: int = HOT, keep: tuple[str, ...] = ()) -> DataFrame:
+RESULTS = "kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400, hot: int = HOT, whole_rows: bool = False) -> DataFrame:
     """Every row of docs with ``kept`` (remaining bytes), ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``
     and ``kept_text`` (without characters of which a part was removed).
 
-    Columns: the id, those in ``keep``, then those above. Null text counts as empty; texts shorter than the window keep all
-    their bytes. Repeated rows are copies of each other. Windows never cross texts. A window of the same
-    text, overlapping or not, counts as elsewhere. Strings are judged on the input. Groups of at most
-    ``hot`` anchors are sorted whole in one task; larger ones are counted by window hash, which no skew
-    can gather in a task. Anchors and the repeated grams are written to the shared folder.
+    Columns: doc_id, then those above; with ``whole_rows`` a struct ``row`` of all columns of docs in place of
+    doc_id, so that no column of docs can clash. Other columns are ignored. Ids may be of any type that can be
+    hashed. Null text counts as empty; texts shorter than the window keep all their bytes. Repeated rows are
+    copies of each other. An empty table gives no rows. Windows never cross texts. A window of the same text,
+    overlapping or not, counts as elsewhere. Strings are judged on the input. Groups of at most ``hot`` anchors
+    are sorted whole in one task; larger ones are counted by window hash, which no skew can gather in a task.
+    Anchors and the repeated grams are written to the shared folder. What repeats within one text is held as
+    one row, whose anchors can be as many as its bytes where the text is a single character over and over.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     if window < 2 * GRAM:
         raise ValueError(f"window must be at least {2 * GRAM} bytes")
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("rid"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("did"), *keep)
-    marks = materialise(_find_anchors(keyed.where(F.octet_length("text") >= window).select("rid", "did", "text"), window), "anchors")
+    whole = docs.select(packed(docs, id_col, text_col, whole_rows).alias("row"))
+    place = whole.schema["row"].dataType.names.index(text_col)
+    text = F.col("row")[text_col]
+    # two hashes name a row; rows of one id and text have one name and one fate
+    own_id = F.col("row")[id_col]
+    keyed = whole.withColumn("rid", F.xxhash64(own_id, text)).withColumn("did", F.xxhash64(F.lit(window), text, own_id))
+    texts = keyed.select("rid", "did", text.alias("text"))
+    marks = materialise(_find_anchors(texts.where(F.octet_length("text") >= window), window), "anchors")
     grams = materialise(marks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "grams")
-    follow = marks.join(grams, "h").groupBy("rid", "did").agg(F.collect_set(F.struct("q", "lo", "hi", "h", "n")).alias("marks"))
-    found = keyed.join(follow, ["rid", "did"]).select("rid", "did", "text", "marks")
+    follow = marks.join(grams, "h").groupBy("rid", "did").agg(F.collect_list(F.struct("q", "lo", "hi", "h", "n")).alias("marks"))
+    found = texts.join(follow, ["rid", "did"]).select("rid", "did", "text", "marks")
     cool = _contexts(found.withColumn("marks", F.filter("marks", lambda m: m["n"] <= hot)), window)
     spans = _sorted_spans(cool, window)
     if (grams.agg(F.max("n")).first()[0] or 0) > hot:
         spans = spans.unionByName(_counted_spans(_contexts(found.withColumn("marks", F.filter("marks", lambda m: m["n"] > hot)), window), window))
-    spans = spans.groupBy("rid", "did").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    spans = spans.groupBy("rid", "did").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
     def run(batches):
         for b in batches:
-            ids, out = b.column("doc_id"), []
-            for t, spans in zip(b.column("text"), b.column("spans")):
+            out = []
+            for t, spans in zip(b.column("row").field(place), b.column("spans")):
                 text = encoded(t.as_py())
                 kept, runs = _cut(text, [(x["s"], x["e"]) for x in spans.as_py() or ()])
                 out.append((kept, len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
             cols = list(zip(*out)) or [()] * 6
             kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([ids, *(b.column(k) for k in keep), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", *keep, "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["row", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    joined = keyed.join(spans, ["rid", "did"], "left").select("doc_id", *keep, "text", "spans")
-    passed = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return joined.mapInArrow(run, f"doc_id {kind}, {passed}kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    joined = keyed.join(spans, ["rid", "did"], "left").select("row", "spans")
+    done = joined.mapInArrow(run, f"row {whole.schema['row'].dataType.simpleString()}, {RESULTS}")
+    return done if whole_rows else done.select(F.col("row")[id_col].alias("doc_id"), *done.columns[1:])
