@@ -15,13 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, bound_batches, cache, claim, encoded
+from .common import WORD_BYTES, bound_batches, cache, claim, encoded, materialise
 
 WINDOW = 13
 #: Characters of patterns in one automaton (about 40 bytes of memory each); more items are dealt to more automata.
 AUTOMATON_CHARS = 4_000_000
 _built = cache()
 _serial = itertools.count()
+_HITS = "runs array<struct<a:long,b:long>>, items array<string>"
 _FOUND = "n_words long, runs array<struct<a:long,b:long>>, spans array<struct<a:long,b:long>>, items array<string>"
 
 
@@ -84,7 +85,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     ``benchmark`` has ``item_id`` and ``text``; items without id or words match nothing. A null text has no
     words. Repeated rows and items count once each. The size of the patterns is computed before anything is
     collected: items are dealt by hash to as many automata as keep each under ``automaton_chars``, every one
-    of which is broadcast and scanned in turn, so that a benchmark of any size is covered whole.
+    of which is broadcast and scanned for in a job of its own, so that a benchmark of any size is covered whole.
+    Null ids keep their rows; an empty table of documents gives no rows, an empty benchmark no hits; other
+    columns are ignored.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -103,25 +106,31 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
 
 def _scan_by_shard(docs: DataFrame, items: DataFrame, shards: int, window: int, kind: str) -> DataFrame:
-    """Scan with every shard's automaton, one after another, on the same rows."""
-    out = docs.withColumn("found", F.array().cast("array<struct<a:long,b:long>>")).withColumn("items", F.array().cast("array<string>")).withColumn("n_words", F.lit(0).cast("long"))
+    """Scan for every shard in a job of its own, one automaton at a time; what each finds is written and joined back by row."""
+    keyed = docs.withColumn("rid", F.xxhash64("doc_id", "text")).withColumn("did", F.xxhash64(F.lit(window), "text", "doc_id"))
+    hits = None
     for k in range(shards):
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k)
         held = docs.sparkSession.sparkContext.broadcast([(r[0], encoded(r[1])) for r in own.collect()])
-        out = out.mapInArrow(_adder(held, f"{next(_serial)}-{id(held)}", window), f"doc_id {kind}, text string, found array<struct<a:long,b:long>>, items array<string>, n_words long")
+        found = materialise(keyed.select("rid", "did", "text").mapInArrow(_finder(held, f"{next(_serial)}-{id(held)}", window), f"rid long, did long, {_HITS}"), f"shard{k}")
+        held.unpersist()
+        hits = found if hits is None else hits.unionByName(found)
+    # equal rows found the same, so sets leave one of each
+    hits = hits.groupBy("rid", "did").agg(F.flatten(F.collect_set("runs")).alias("found"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    out = keyed.join(hits, ["rid", "did"], "left").select("doc_id", "text", "found", "items")
 
     def run(batches):
         for b in batches:
-            ids, rows = b.column("doc_id"), []
-            for t, found, items_, n in zip(b.column("text"), b.column("found"), b.column("items"), b.column("n_words")):
-                runs: list[list[int]] = []
-                for a, e in sorted((x["a"], x["b"]) for x in found.as_py()):
+            rows = []
+            for t, found, items_ in zip(b.column("text"), b.column("found"), b.column("items")):
+                text, runs = encoded(t.as_py()), []
+                for a, e in sorted((x["a"], x["b"]) for x in found.as_py() or ()):
                     if runs and a <= runs[-1][1] + 1:
                         runs[-1][1] = max(runs[-1][1], e)
                     else:
                         runs.append([a, e])
-                rows.append((n.as_py(), runs, _byte_spans(encoded(t.as_py()), runs) if runs else [], sorted(set(items_.as_py()))))
-            yield _found_batch(ids, rows)
+                rows.append((len(words_of(text)), runs, _byte_spans(text, runs) if runs else [], items_.as_py() or []))
+            yield _found_batch(b.column("doc_id"), rows)
 
     return out.mapInArrow(run, f"doc_id {kind}, {_FOUND}")
 
@@ -161,17 +170,21 @@ def _scanner(held, key: str, window: int):
     return run
 
 
-def _adder(held, key: str, window: int):
+def _finder(held, key: str, window: int):
+    """Runs and items of the rows that have any."""
+
     def run(batches):
-        automaton = build(held.value, window)
+        claim("decontaminate")
+        automaton = _automaton(held, key, window)
         for b in batches:
-            ns, found, items = [], [], []
-            for t, had, held_items in zip(b.column("text"), b.column("found"), b.column("items")):
-                n, runs, new = scan(automaton, encoded(t.as_py()))
-                ns.append(n)
-                found.append(had.as_py() + _pairs(runs))
-                items.append(held_items.as_py() + sorted(new))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(found, _RUNS), pa.array(items, pa.list_(pa.string())), pa.array(ns, pa.int64())], ["doc_id", "text", "found", "items", "n_words"])
+            rows = []
+            for i, t in enumerate(b.column("text")):
+                _, runs, items = scan(automaton, encoded(t.as_py()))
+                if runs:
+                    rows.append((i, _pairs(runs), sorted(items)))
+            at, runs, items = zip(*rows) if rows else ((),) * 3
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("rid").take(at), b.column("did").take(at), pa.array(runs, _RUNS), pa.array(items, pa.list_(pa.string()))], ["rid", "did", "runs", "items"])
 
     return run
 
