@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cache, claim
+from .common import bound_batches, cache, claim, packed
 
 MARK = "▁"
 _SEGMENT = re.compile(" +[^ ]*|[^ ]+")
@@ -86,6 +86,8 @@ class Codec:
         self.cut = not any(MARK in p.lstrip(MARK) for p in self.id_of)
         self.longest = max(map(len, self.id_of), default=1)
         self.rank = {p: (-self.scores[i]) for p, i in self.id_of.items()}
+        #: Score of a character without a piece: ten below the lowest of a usual piece.
+        self.worst = min((self.scores[i] for i, k in enumerate(kinds) if k == 1), default=0.0) - 10.0
         self.memo: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
         usable = [p for p in self.id_of if not self.bpe or self._merge(p) == [p]]
@@ -154,7 +156,6 @@ class Codec:
         back = np.zeros((n, size + 1), np.int32)
         score = np.zeros((n, size + 1))
         values = np.array(self.scores)
-        worst = values.min(initial=0.0) - 10.0
         for j in range(1, size + 1):
             top = np.full(n, -np.inf)
             for k in range(min(len(m), j), 0, -1):
@@ -169,9 +170,10 @@ class Codec:
                 better = value > top[rows]
                 rows = rows[better]
                 top[rows], last[rows, j], back[rows, j] = value[better], piece[rows], i
-            # a character without a piece stands alone
-            lone = np.flatnonzero(~np.isfinite(top) & (m[0, :, j - 1] < 0) & (score[:, j - 1] > -np.inf))
-            top[lone], last[lone, j], back[lone, j] = score[lone, j - 1] + worst, -1, j - 1
+            # a character without a piece may stand alone
+            lone = (m[0, :, j - 1] < 0) & (score[:, j - 1] > -np.inf)
+            lone = np.flatnonzero(lone & ~np.isfinite(top) if self.bpe else lone & (score[:, j - 1] + self.worst > top))
+            top[lone], last[lone, j], back[lone, j] = score[lone, j - 1] + self.worst, -1, j - 1
             score[:, j] = np.where(np.isfinite(top), 0.0, top) if self.bpe else top
         out = []
         for r in range(n):
@@ -227,8 +229,8 @@ class Codec:
                         score[j], last[j], back[j] = value, piece, i
                     if self.bpe:
                         break
-            if score[j] == -np.inf:
-                score[j], last[j], back[j] = score[j - 1] - (0 if self.bpe else 1e4), -1, j - 1
+            if score[j] == -np.inf or not self.bpe and m[0, j - 1 - start] < 0 and score[j - 1] + self.worst > score[j]:
+                score[j], last[j], back[j] = score[j - 1] + (0 if self.bpe else self.worst), -1, j - 1
         path, j = [], size
         while j:
             path.append((last[j], back[j]))
@@ -262,28 +264,30 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", whole_rows: bool = False) -> DataFrame:
     """Every row with ``n_pieces``, ``ids`` (array), ``ids_crc32`` (of little-endian unsigned 32-bit ids) and ``decoded``.
 
-    Null text counts as empty. ``path`` names a model file that every executor has. ``keep`` lists further
-    columns to pass on; others are dropped. decoded equals the text unless it holds the mark itself.
+    Columns: doc_id, then those above; with ``whole_rows`` a struct ``row`` of all columns of docs in place of
+    doc_id, so that no column of docs can clash. Other columns are ignored. Null text counts as empty; repeated
+    rows are encoded each; an empty table gives no rows; a text is encoded whole, however long. ``path`` names a
+    model file that every executor has. decoded equals the text unless it holds the mark itself.
     """
     bound_batches(docs.sparkSession)
-    fields = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep]
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"), *keep)
-    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(packed(docs, id_col, text_col, whole_rows).alias("row"))
+    place = rows.schema["row"].dataType.names.index(text_col)
 
     def run(batches):
         claim("sentencepiece")
         c = codec(path)
         for b in batches:
+            texts = b.column("row").field(place)
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                ids = c.encode(part.column("__text").to_pylist())
+                ids = c.encode(texts.slice(at, 1000).to_pylist())
                 sizes = np.cumsum([0, *map(len, ids)])
                 flat = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *ids]).astype(np.int32)))
-                cols = [part.column("doc_id"), *(part.column(k) for k in keep), pa.array([len(x) for x in ids], pa.int64()), flat, pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()), pa.array([c.decode(x) for x in ids], pa.string())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", *keep, "n_pieces", "ids", "ids_crc32", "decoded"])
+                cols = [part.column("row"), pa.array([len(x) for x in ids], pa.int64()), flat, pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()), pa.array([c.decode(x) for x in ids], pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, ["row", "n_pieces", "ids", "ids_crc32", "decoded"])
 
-    schema = ", ".join([f"doc_id {kind}", *fields, "n_pieces long, ids array<int>, ids_crc32 long, decoded string"])
-    return rows.mapInArrow(run, schema)
+    done = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, n_pieces long, ids array<int>, ids_crc32 long, decoded string")
+    return done if whole_rows else done.select(F.col("row")[id_col].alias("doc_id"), *done.columns[1:])
