@@ -36,6 +36,7 @@ TEMPLATES = (
     ("all-rights-reserved", "All rights reserved."),
 )
 THRESHOLD = 0.8
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def template_sets(templates=TEMPLATES) -> list[tuple[str, list[str]]]:
@@ -64,15 +65,16 @@ def word_order(lowered: DataFrame, sets) -> list[str]:
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Every row with n_words, n_base, first_word, last_word, base_labels, labels, score and ``blocks``.
 
-    Null text is empty. Words are judged in lower case. base: places where a phrase's words stand in
+    Null text is empty. Only A-Z are lowered before words are judged. base: places where a phrase's words stand in
     sequence; first_word and last_word are null without one. labels: those of the phrases and of every
     template that a line or a paragraph reaches. score: 1 with a phrase, else the best containment of a template that one
     reaches, else 0. blocks: (line number, label, containment) of every such line and template.
-    The templates are a fixed list, so what is broadcast doesn't grow. Repeated rows count as rows.
+    The templates are a fixed list, so what is broadcast doesn't grow. Repeated rows and null ids count as rows;
+    an empty table gives no rows; other columns are ignored.
     """
     sets = template_sets(templates)
     need = [math.ceil(threshold * len(s) - 1e-9) for _, s in sets]
-    df = docs.select(F.col(id_col).alias("doc_id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    df = docs.select(F.col(id_col).alias("doc_id"), F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, UPPER.lower()).alias("text"))
     lowered = df.withColumn("words", words_of("text"))
     order = word_order(lowered, sets)
     rank = {w: i for i, w in enumerate(order)}
