@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontaminate, importance, sentencepiece_codec, simhash, suffix_dedup
+from spanloom.llm import decontaminate, importance, sentencepiece_codec, shingle_join, suffix_dedup
 from spanloom.llm.common import NON_WORD, materialise, table
 from spanloom.llm.queries import tokenizer_file
 
@@ -20,30 +20,41 @@ PASSAGE_BYTES = 250
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that importance resampling draws. Rows without an id or a text have no weight and stay."""
+    """Keep the documents that importance resampling draws; of rows with one id all stay if one is drawn. Rows without an id stay."""
     labels = table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
     drawn = importance.classify(docs.select("doc_id", "text"), labels).where("kept").select("doc_id").distinct()
     return docs.join(drawn, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group whose shingles of five words are similar to 0.8 or more."""
-    return simhash.drop_near_duplicates(docs, k=5, similarity=0.8)
+    """Keep one document, that of the smallest id, of each group whose shingles of five words are similar to 0.8 or more.
+
+    Rows with one id are one document; rows without an id stay.
+    """
+    return shingle_join.drop_near_duplicates(docs, k=5, similarity=0.8)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove every passage that occurs more than once; a document of which nothing is left goes."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    had = docs.withColumn("had_text", F.col("text").isNotNull())
-    cut = suffix_dedup.remove_repeats(had, window=PASSAGE_BYTES, keep=(*others, "had_text"))
-    cut = cut.where("n_removed = 0 or n_removed < n_bytes").withColumn("text", F.when(F.col("had_text"), F.col("kept_text")))
-    if "n_chars" in others:
-        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return cut.select(docs.columns)
+    """Remove every passage that occurs more than once; a document of which nothing is left goes.
+
+    A text in which nothing repeats stays as it is, null or empty included. n_chars follows the text.
+    """
+    cut = suffix_dedup.remove_repeats(docs, window=PASSAGE_BYTES, whole_rows=True).where("n_removed = 0 or n_removed < n_bytes")
+    shortened = F.col("n_removed") > 0
+
+    def column(c: str):
+        was = F.col("row")[c]
+        if c == "text":
+            return F.when(shortened, F.col("kept_text")).otherwise(was).alias(c)
+        if c == "n_chars":
+            return F.when(shortened, F.length("kept_text").cast(docs.schema[c].dataType)).otherwise(was).alias(c)
+        return was.alias(c)
+
+    return cut.select(*[column(c) for c in docs.columns])
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents with a full window of a benchmark item, however long they are.
+    """Drop documents with a full window of a benchmark item, however long they are; rows without an id stay.
 
     Items of fewer words than a window are common phrases too: they count where at least a twentieth of a
     document's words lie in them.
@@ -57,10 +68,14 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their SentencePiece ids, their number, and whether decoding gives the text back."""
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    found = sentencepiece_codec.encode_texts(docs, tokenizer_file("piece_bpe_32k.model"), keep=others)
-    return found.withColumn("round_trip", F.col("decoded") == F.coalesce("text", F.lit(""))).drop("decoded")
+    """Documents with their SentencePiece ids, their number and CRC-32, and whether decoding gives the text back.
+
+    A column of docs that has the name of one of these gives way to it.
+    """
+    found = sentencepiece_codec.encode_texts(docs, tokenizer_file("piece_bpe_32k.model"), whole_rows=True)
+    new = ("n_pieces", "ids", "ids_crc32")
+    back = F.col("decoded") == F.coalesce(F.col("row")["text"], F.lit(""))
+    return found.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in (*new, "round_trip")], *new, back.alias("round_trip"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -1,4 +1,8 @@
-"""Exact self-join of texts by the Jaccard similarity of their sets of k-word shingles.
+"""Self-join of texts by the Jaccard similarity of their sets of k-word shingles: SimHash links first, then an exact join.
+
+SimHash: fingerprints of the sets of shingles meet by covering locality-sensitive hashing, and each link is
+verified on the whole sets. That joins most copies at little cost. A similarity of 0.8 moves about ten of 64
+bits, too many for a covering radius that is of use, so an exact join finds whatever fingerprints miss.
 
 Prefix filter: the shingles of all texts stand in one order, common ones last. Two sets of a similarity of
 at least s share one of the first |T| - ceil(s |T|) + 1 shingles of each. Positional filter: at the first
@@ -18,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, checkpoint, claim, encoded, materialise
 from .components import connected_components
+from .simhash import BITS, _signed, covering_links
 
 #: Texts from which common shingles are learnt, in how many of them one is common, and how many are told apart.
 SAMPLE, COMMON, MAX_COMMON = 8_000, 3, 100_000
@@ -25,6 +30,8 @@ SAMPLE, COMMON, MAX_COMMON = 8_000, 3, 100_000
 #: each halves what is open. All pairs come after.
 DENSE, ROUNDS = 64, 6
 EPS = 1e-6
+#: Bits in which fingerprints of the SimHash links may differ.
+RADIUS = 2
 #: Bytes of texts and their shingles that a task remembers while it verifies.
 HELD = 32 << 20
 
@@ -40,6 +47,14 @@ def shingles(text: bytes, k: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(line[a:b]) for a, b in spans), np.uint64, len(words) - m + 1))
 
 
+def fingerprint(h: np.ndarray) -> int:
+    """SimHash of a set of shingle hashes: a bit is 1 if it is set in over half of them."""
+    if not len(h):
+        return 0
+    total = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, BITS // 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(h), bitorder="little").view("<u8")[0])
+
+
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both >= similarity * (len(a) + len(b) - both) - EPS
@@ -62,7 +77,7 @@ def common_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(docs: DataFrame, k: int, similarity: float) -> DataFrame:
-    """(doc_id, sig, size, prefix): digest and size of the set of shingles, and those of its prefix in the order of all."""
+    """(doc_id, sig, size, fp, prefix): digest, size and fingerprint of the set of shingles, and those of its prefix in the order of all."""
     held = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, k))
 
     def run(batches):
@@ -78,11 +93,11 @@ def _prefixes(docs: DataFrame, k: int, similarity: float) -> DataFrame:
                     at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                     rank = np.where(common[at] == h, often[at], 0)
                 first = np.lexsort((h, rank))[: len(h) - math.ceil(similarity * len(h) - EPS) + 1]
-                rows.append((sig, len(h), h[first].view(np.int64)))
-            sigs, sizes, prefix = zip(*rows) if rows else ((),) * 3
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "sig", "size", "prefix"])
+                rows.append((sig, len(h), _signed(fingerprint(h)), h[first].view(np.int64)))
+            sigs, sizes, fps, prefix = zip(*rows) if rows else ((),) * 4
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "sig", "size", "fp", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, sig binary, size int, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, sig binary, size int, fp long, prefix array<long>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
@@ -117,17 +132,28 @@ def _may(x: str, y: str, similarity: float):
     return F.least(F.col(f"{x}.left"), F.col(f"{y}.left")) >= (F.col(f"{x}.size") + F.col(f"{y}.size")) * (similarity / (1 + similarity)) - EPS
 
 
+def simhash_links(nodes: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Verified links (a, b) between nodes (id, fp) whose fingerprints are equal or joined by steps of RADIUS bits."""
+    first = checkpoint(nodes.groupBy("fp").agg(F.min("id").alias("id")))
+    equal = nodes.join(first.withColumnRenamed("id", "a"), "fp").where("id <> a").select("a", F.col("id").alias("b"))
+    near = covering_links(first, RADIUS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return checkpoint(verified(checkpoint(equal.unionByName(near).distinct()), docs, k, similarity))
+
+
 def similar_links(nodes: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of nodes of at least the similarity.
 
-    ``nodes``: (id, size, prefix). A bucket has all nodes with one shingle in their prefix. While buckets hold
-    many pairs that no links join yet, each bucket's members are verified against one of them. Then every pair
-    of members of a bucket that is not joined already and passes the filter is verified: no bucket is cut.
+    ``nodes``: (id, size, fp, prefix). SimHash links come first. A bucket has all nodes with one shingle in their
+    prefix. While buckets hold many pairs that no links join yet, each bucket's members are verified against one
+    of them. Then every pair of members of a bucket that is not joined already and passes the filter is
+    verified: no bucket is cut.
     """
+    links = simhash_links(nodes, docs, k, similarity)
+    roots = connected_components(links).withColumnRenamed("node", "id")
     keyed = nodes.select("id", "size", F.posexplode("prefix").alias("at", "key")).select("key", "id", "size", (F.col("size") - F.col("at")).alias("left"))
     shared = keyed.groupBy("key").count().where("count > 1").select("key")
-    members = materialise(keyed.join(shared, "key"), "buckets").withColumn("comp", F.col("id"))
-    links, before = None, math.inf
+    members = materialise(keyed.join(shared, "key").join(roots, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root"), "buckets")
+    before = math.inf
     for round_ in range(ROUNDS + 1):
         parts = members.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("joined"), F.count("*").alias("comps")).where("comps > 1")
         parts = checkpoint(parts)
@@ -141,14 +167,14 @@ def similar_links(nodes: DataFrame, docs: DataFrame, k: int, similarity: float)
         pairs = members.select("key", m.alias("y")).join(pivots, "key").where((F.col("x.comp") != F.col("y.comp")) & _may("x", "y", similarity))
         pairs = checkpoint(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
         new = verified(pairs, docs, k, similarity)
-        links = checkpoint(new if links is None else links.unionByName(new))
+        links = checkpoint(links.unionByName(new))
         roots = connected_components(links).withColumnRenamed("node", "id")
         members = checkpoint(members.drop("comp").join(roots, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root"))
     x, y = members.alias("x"), members.alias("y")
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & _may("x", "y", similarity))
     pairs = checkpoint(rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
     new = verified(pairs, docs, k, similarity)
-    return checkpoint(new if links is None else links.unionByName(new))
+    return checkpoint(links.unionByName(new))
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -161,10 +187,26 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bound_batches(docs.sparkSession)
     docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = materialise(_prefixes(docs, k, similarity), "prefixes")
-    ids = found.groupBy("sig").agg(F.min("doc_id").alias("id"))
-    ids = checkpoint(ids)
+    ids = checkpoint(found.groupBy("sig").agg(F.min("doc_id").alias("id")))
     same = found.select("doc_id", "sig").join(ids, "sig")
-    nodes = found.join(ids, "sig").where("doc_id = id").select("id", "size", "prefix").distinct()
-    links = similar_links(nodes, docs, k, similarity)
-    roots = connected_components(same.where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b")).unionByName(links))
-    return found.select("doc_id").join(roots, found["doc_id"] == roots["node"], "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
+    nodes = found.join(ids, "sig").where("doc_id = id").select("id", "size", "fp", "prefix").distinct()
+    # a repeated id with different texts joins their nodes; copies follow their node and need no links
+    several = same.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a <> last")
+    also = same.join(several, "doc_id").where("id <> a").select("a", F.col("id").alias("b"))
+    roots = connected_components(similar_links(nodes, docs, k, similarity).unionByName(also))
+    named = ids.join(roots, ids["id"] == roots["node"], "left").select("sig", F.coalesce("root", "id").alias("component_id"))
+    return found.select("doc_id", "sig").join(named, "sig").select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without all but one document, that of the smallest id, of each group of near copies.
+
+    Groups are joined by pairs whose similarity is counted exactly, see similar_components(). Rows with one id are
+    one document, of which one row stays. Rows without an id stay, as nothing names them; a null or empty text
+    is a text without words, of which one document stays. Other columns are passed on whatever they are called.
+    An empty table gives no rows.
+    """
+    found = similar_components(docs, id_col, text_col, k, similarity)
+    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    named = docs.join(keep, id_col).dropDuplicates([id_col]).select(docs.columns)
+    return named.unionByName(docs.where(F.col(id_col).isNull()))

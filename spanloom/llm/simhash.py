@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, checkpoint, encoded, materialise
 from .components import connected_components
-from .shingle_join import similar_components
 
 BITS = 64
 #: Shingles hashed at a time within one text.
@@ -162,15 +161,3 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     roots = connected_components(covering_links(nodes.where("id is not null"), radius))
     named = nodes.join(roots, nodes["id"] == roots["node"], "left").select("fp", F.coalesce("root", "id").alias("component_id"))
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs without all but one document, that of the smallest id, of each group of near copies.
-
-    Groups are joined by pairs whose similarity is counted exactly, see shingle_join; a radius on fingerprints
-    misses some of them. Rows with one id are one document. Rows without an id stay, as nothing names them.
-    """
-    found = similar_components(docs, id_col, text_col, k, similarity)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    named = docs.join(keep, id_col).dropDuplicates([id_col]).select(docs.columns)
-    return named.unionByName(docs.where(F.col(id_col).isNull()))

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from spanloom.llm import chat, decontaminate, importance, licenses, quality_rules, sentencepiece_codec, simhash, suffix_dedup, token_counts, token_files
+from spanloom.llm import chat, decontaminate, importance, licenses, quality_rules, sentencepiece_codec, shingle_join, simhash, suffix_dedup, token_counts, token_files
 from spanloom.llm.components import connected_components
 from spanloom.llm.queries import tokenizer_file
 
@@ -105,7 +105,7 @@ def test_near_copies_keep_one_of_each_group(spark):
         c = list(b)
         c[100] = "changed"
         rows += [(10 + i, " ".join(c)), (20 + i, " ".join(b))]
-    got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = shingle_join.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(x["doc_id"] for x in got.collect()) == [0, 1, 2, 3, 4, 5]
 
 
@@ -127,7 +127,7 @@ def test_near_copies_equal_brute_force_jaccard(spark):
     assert sum(0.75 <= x < 0.8 for x in j.values()) > 10 and sum(0.8 <= x < 0.85 for x in j.values()) > 10
     want = roots_of(range(len(texts)), [p for p, x in j.items() if x >= 0.8])
     d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    assert {x["doc_id"]: x["component_id"] for x in simhash.similar_components(d).collect()} == want
+    assert {x["doc_id"]: x["component_id"] for x in shingle_join.similar_components(d).collect()} == want
 
 
 def test_crowded_buckets_are_compared_whole(spark):
@@ -155,7 +155,7 @@ def test_crowded_buckets_are_compared_whole(spark):
     near = np.argwhere(np.triu(both >= 0.8 * (n[:, None] + n[None, :] - both) - 1e-9, 1)).tolist()
     want = roots_of(range(len(texts)), near)
     d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    assert len(set(want.values())) > 500 and {x["doc_id"]: x["component_id"] for x in simhash.similar_components(d).collect()} == want
+    assert len(set(want.values())) > 500 and {x["doc_id"]: x["component_id"] for x in shingle_join.similar_components(d).collect()} == want
 
 
 @pytest.mark.parametrize("hot", [20_000, 1])
@@ -247,8 +247,8 @@ def test_sentencepiece(spark, docs, empty):
 
     path = tokenizer_file("piece_bpe_32k.model")
     s = sentencepiece.SentencePieceProcessor(model_file=path)
-    for r in sentencepiece_codec.encode_texts(docs.withColumn("ids_", F.lit(1)), path, keep=("lang", "text")).collect():
-        assert r["ids"] == s.encode(r["text"] or "") and r["decoded"] == (r["text"] or "")
+    for r in sentencepiece_codec.encode_texts(docs.withColumn("ids", F.lit(1)), path, whole_rows=True).collect():
+        assert r["ids"] == s.encode(r["row"]["text"] or "") and r["decoded"] == (r["row"]["text"] or "") and r["row"]["ids"] == 1
     c, r = sentencepiece_codec.codec(path), random.Random(9)
     parts = ["a", "th", " ", "    ", "\n", "é", "𝄞", "<s>", "▁", "ing", "\x00"]
     odd = ["".join(r.choice(parts) for _ in range(r.randint(0, 15))) for _ in range(400)] + ["ab" * 4000]
