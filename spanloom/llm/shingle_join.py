@@ -4,15 +4,20 @@ SimHash: fingerprints of the sets of shingles meet by covering locality-sensitiv
 verified on the whole sets. That joins most copies at little cost. A similarity of 0.8 moves about ten of 64
 bits, too many for a covering radius that is of use, so an exact join finds whatever fingerprints miss.
 
+Bitmap filter: a set's shingles fall into MAP bits. Each bit that only one of two sets has is a shingle that they
+do not share, which bounds what they share from above.
+
 Prefix filter: the shingles of all texts stand in one order, common ones last. Two sets of a similarity of
 at least s share one of the first |T| - ceil(s |T|) + 1 shingles of each. Positional filter: at the first
-shingle they share, each has at least s / (1 + s) (|A| + |B|) left. Both are proven, so no pair is missed;
+shingle they share, each has at least s / (1 + s) (|A| + |B|) left. All three are proven, so no pair is missed;
 what passes is verified on the whole sets. The order decides only how much passes, never what is found.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +31,15 @@ from .simhash import BITS, _signed, covering_links
 
 #: Texts from which common shingles are learnt, in how many of them one is common, and how many are told apart.
 SAMPLE, COMMON, MAX_COMMON = 8_000, 3, 100_000
-#: Pairs a member of a bucket may have on average before pivots are tried first, for as many rounds at most as
-#: each halves what is open. All pairs come after.
-DENSE, ROUNDS = 64, 6
+#: Pairs a member of a bucket may have on average before pivots are tried first, at most so many of a bucket, for as
+#: many rounds at most as each takes a tenth of what is open. All pairs come after.
+DENSE, PIVOTS, ROUNDS = 2, 8, 6
 EPS = 1e-6
+#: Words of 64 bits of a set's bitmap.
+MAP = 8
+_MAPS = [f"m{i}" for i in range(MAP)]
+#: Texts that pairs name, up to which their ids are broadcast so that only those texts are moved.
+FEW_IDS = 500_000
 #: Bits in which fingerprints of the SimHash links may differ.
 RADIUS = 2
 #: Bytes of texts and their shingles that a task remembers while it verifies.
@@ -77,7 +87,7 @@ def common_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(docs: DataFrame, k: int, similarity: float) -> DataFrame:
-    """(doc_id, sig, size, fp, prefix): digest, size and fingerprint of the set of shingles, and those of its prefix in the order of all."""
+    """(doc_id, sig, size, fp, m0.., prefix): digest, size, fingerprint and bitmap of the set of shingles, and those of its prefix in the order of all."""
     held = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, k))
 
     def run(batches):
@@ -93,11 +103,14 @@ def _prefixes(docs: DataFrame, k: int, similarity: float) -> DataFrame:
                     at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                     rank = np.where(common[at] == h, often[at], 0)
                 first = np.lexsort((h, rank))[: len(h) - math.ceil(similarity * len(h) - EPS) + 1]
-                rows.append((sig, len(h), _signed(fingerprint(h)), h[first].view(np.int64)))
-            sigs, sizes, fps, prefix = zip(*rows) if rows else ((),) * 4
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "sig", "size", "fp", "prefix"])
+                bits = np.zeros(64 * MAP, bool)
+                bits[(h >> np.uint64(20)) % np.uint64(64 * MAP)] = True
+                rows.append((sig, len(h), _signed(fingerprint(h)), np.packbits(bits).view(np.int64), h[first].view(np.int64)))
+            sigs, sizes, fps, maps, prefix = zip(*rows) if rows else ((),) * 5
+            maps = np.array(maps, np.int64).reshape(-1, MAP)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()), *(pa.array(maps[:, i]) for i in range(MAP)), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "sig", "size", "fp", *_MAPS, "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, sig binary, size int, fp long, prefix array<long>")
+    return docs.mapInArrow(run, f"doc_id long, sig binary, size int, fp long, {', '.join(f'{m} long' for m in _MAPS)}, prefix array<long>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
@@ -122,14 +135,21 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, similarity: float) -> Da
             ok = [similar(of(encoded(s.as_py())), of(encoded(t.as_py())), similarity) for s, t in zip(batch.column(2), batch.column(3))]
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    right = pairs.join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("t")), "b")
-    both = right.join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("s")), "a")
+    texts = docs.select("doc_id", "text")
+    ids = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    if ids.count() <= FEW_IDS:
+        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
+    right = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("t")), "b")
+    both = right.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("s")), "a")
     return both.select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
 
 def _may(x: str, y: str, similarity: float):
-    """Whether two members of one bucket pass the positional filter there. ``left``: shingles from the shared one on."""
-    return F.least(F.col(f"{x}.left"), F.col(f"{y}.left")) >= (F.col(f"{x}.size") + F.col(f"{y}.size")) * (similarity / (1 + similarity)) - EPS
+    """Whether two members of one bucket may be similar, by the positional and the bitmap filter. ``left``: shingles from the shared one on."""
+    a, b = (lambda c: F.col(f"{x}.{c}")), (lambda c: F.col(f"{y}.{c}"))
+    need = (a("size") + b("size")) * (similarity / (1 + similarity)) - EPS
+    alone = lambda p, q: reduce(add, (F.bit_count(p(m).bitwiseAND(F.bitwise_not(q(m)))) for m in _MAPS))
+    return (F.least(a("left"), b("left")) >= need) & (a("size") - alone(a, b) >= need) & (b("size") - alone(b, a) >= need)
 
 
 def simhash_links(nodes: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
@@ -144,13 +164,13 @@ def similar_links(nodes: DataFrame, docs: DataFrame, k: int, similarity: float)
     """Links (a, b) whose components are those of all pairs of nodes of at least the similarity.
 
     ``nodes``: (id, size, fp, prefix). SimHash links come first. A bucket has all nodes with one shingle in their
-    prefix. While buckets hold many pairs that no links join yet, each bucket's members are verified against one
-    of them. Then every pair of members of a bucket that is not joined already and passes the filter is
+    prefix. While buckets hold many pairs that no links join yet, each bucket's members are verified against a
+    few of them. Then every pair of members of a bucket that is not joined already and passes the filter is
     verified: no bucket is cut.
     """
     links = simhash_links(nodes, docs, k, similarity)
     roots = connected_components(links).withColumnRenamed("node", "id")
-    keyed = nodes.select("id", "size", F.posexplode("prefix").alias("at", "key")).select("key", "id", "size", (F.col("size") - F.col("at")).alias("left"))
+    keyed = nodes.select("id", "size", *_MAPS, F.posexplode("prefix").alias("at", "key")).select("key", "id", "size", (F.col("size") - F.col("at")).alias("left"), *_MAPS)
     shared = keyed.groupBy("key").count().where("count > 1").select("key")
     members = materialise(keyed.join(shared, "key").join(roots, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root"), "buckets")
     before = math.inf
@@ -159,11 +179,12 @@ def similar_links(nodes: DataFrame, docs: DataFrame, k: int, similarity: float)
         parts = checkpoint(parts)
         n, open_ = parts.agg(F.sum("n"), F.sum(F.col("n") * F.col("n") - F.col("joined")) / 2).first()
         members = members.join(parts.select("key"), "key", "left_semi")
-        if not n or open_ <= DENSE * n or 2 * open_ > before or round_ == ROUNDS:
+        if not n or open_ <= DENSE * n or 10 * open_ > 9 * before or round_ == ROUNDS:
             break
         before = float(open_)
-        m = F.struct("id", "size", "left", "comp")
-        pivots = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(round_)).alias("h"), m.alias("x")))["x"].alias("x"))
+        m = F.struct("id", "size", "left", "comp", *_MAPS)
+        chance = F.xxhash64("id", F.lit(round_))
+        pivots = members.groupBy("key", F.pmod(chance, F.lit(PIVOTS)).alias("part")).agg(F.min(F.struct(chance.alias("h"), m.alias("x")))["x"].alias("x")).drop("part")
         pairs = members.select("key", m.alias("y")).join(pivots, "key").where((F.col("x.comp") != F.col("y.comp")) & _may("x", "y", similarity))
         pairs = checkpoint(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
         new = verified(pairs, docs, k, similarity)
@@ -189,7 +210,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = materialise(_prefixes(docs, k, similarity), "prefixes")
     ids = checkpoint(found.groupBy("sig").agg(F.min("doc_id").alias("id")))
     same = found.select("doc_id", "sig").join(ids, "sig")
-    nodes = found.join(ids, "sig").where("doc_id = id").select("id", "size", "fp", "prefix").distinct()
+    nodes = found.join(ids, "sig").where("doc_id = id").select("id", "size", "fp", *_MAPS, "prefix").distinct()
     # a repeated id with different texts joins their nodes; copies follow their node and need no links
     several = same.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a <> last")
     also = same.join(several, "doc_id").where("id <> a").select("a", F.col("id").alias("b"))
