@@ -6,11 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def strip(text: str | Column) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.regexp_replace(col(text), r"(?U)^\s+|\s+$", "")
+
+
 def normalise(text: str | Column) -> Column:
     """White space runs to one blank, trimmed, lower case; null is empty."""
     return F.lower(F.trim(F.regexp_replace(F.coalesce(col(text), F.lit("")), r"(?U)\s+", " ")))
@@ -37,20 +41,16 @@ def dice(a: str | Column, b: str | Column) -> Column:
 def matches(text: str | Column, pattern: str, ignore_case: bool = True) -> Column:
     """All matches of a pattern that never matches empty, as structs (s, e, matched), in order.
 
-    The places follow from the pieces between the matches, as regular-expression built-ins give none.
+    The places follow from the pieces between the matches, as regular-expression built-ins give none. Only texts
+    that match at all are taken apart; null has no matches.
     """
     text = col(text)
     p = F.lit(f"(?{'i' * ignore_case}U){pattern}")
-    pairs = F.zip_with(F.split(text, p, -1), F.regexp_extract_all(text, p, 0), lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m")))
-    pairs = F.filter(pairs, lambda x: x["m"].isNotNull())
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<s:int,e:int,matched:string>>)").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["gap"]
-        e = s + F.length(x["m"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("matched")))).alias("out"))
-
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    found = F.regexp_extract_all(text, p, 0)
+    steps = F.zip_with(F.slice(F.split(text, p, -1), F.lit(1), F.size(found)), found, lambda gap, m: F.length(gap) + F.length(m))
+    ends = F.aggregate(steps, F.expr("cast(array() as array<int>)"), lambda a, n: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + n)))
+    spans = F.zip_with(found, ends, lambda m, e: F.struct((e - F.length(m)).alias("s"), e.alias("e"), m.alias("matched")))
+    return F.when(text.rlike(f"(?{'i' * ignore_case}U){pattern}"), spans).otherwise(F.expr("cast(array() as array<struct<s:int,e:int,matched:string>>)"))
 
 
 def sentences(text: str | Column) -> Column:

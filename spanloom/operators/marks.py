@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.functions.spans import overlaps
 from spanloom.functions.text import locate
 from spanloom.operators.rules import Pack
-from spanloom.operators.scan import disclosed, is_noise, is_status, rescue
+from spanloom.operators.scan import disclosed, is_noise, is_status, rescued
 
 KEYS = ["doc_id", "seg_id"]
 
@@ -42,21 +42,30 @@ def resolve(findings: DataFrame, scanned: DataFrame, pack: Pack, least: int = 8)
     grade noise down to C; rescue segments without a finding, for which dropped ones don't count but those
     graded down do; raise the risk where a segment has a disclosure and a hit of that category lies on the
     span; drop what is C without risk.
+
+    ``scanned``: the segments that prescreen() left. They are scanned once: one join by segment brings each its
+    findings, and a window over the same partitioning tells which segments have none that counts.
     """
-    f = findings.join(scanned.select(*KEYS, "text", "hits"), KEYS).withColumn("span", locate("text", "quote"))
-    f = f.withColumn("quote", F.when(F.col("span").isNull(), F.col("text")).otherwise(F.col("quote")))
+    told = ["quote", "grade", "category", "implicit", "disclosure_risk", "source"]
+    j = scanned.select(*KEYS, "slide_no", "text", "hits").join(findings.select(*KEYS, F.struct(*told).alias("f")), KEYS, "left")
+    f = F.col("f")
+    j = j.withColumn("span", F.when(f.isNotNull(), locate("text", f["quote"])))
     s, e = F.col("span.s"), F.col("span.e")
     lo, hi = F.coalesce(s, F.lit(0)), F.coalesce(e, F.length("text"))
     real = F.col("span").isNotNull() & F.exists("hits", lambda h: h["disclosure"] & overlaps(h["s"], h["e"], s, e))
-    f = f.where(~(F.col("disclosure_risk") & (F.col("source") == "llm") & is_status(pack, lo, hi) & ~real))
-    f = f.withColumn("grade", F.when(~F.col("disclosure_risk") & is_noise(pack, lo, hi), "C").otherwise(F.col("grade")))
-    saved = rescue(scanned.join(f.select(*KEYS).distinct(), KEYS, "left_anti"), pack, least)
-    saved = saved.join(scanned.select(*KEYS, "text", "hits"), KEYS)
-    cols = [*KEYS, "slide_no", "quote", "grade", "category", "implicit", "disclosure_risk", "source", "span", "text", "hits"]
-    both = f.select(cols).unionByName(saved.select(cols))
+    counts = f.isNotNull() & ~(f["disclosure_risk"] & (f["source"] == "llm") & is_status(pack, lo, hi) & ~real)
+    segment = Window.partitionBy(*KEYS)
+    j = j.withColumn("counts", F.coalesce(counts, F.lit(False))).withColumn("covered", F.max("counts").over(segment)).withColumn("i", F.row_number().over(segment.orderBy(F.lit(0))))
+    grade = F.when(~f["disclosure_risk"] & is_noise(pack, lo, hi), "C").otherwise(f["grade"])
+    own = F.struct(
+        F.when(F.col("span").isNull(), F.col("text")).otherwise(f["quote"]).alias("quote"), grade.alias("grade"), f["category"].alias("category"), f["implicit"].alias("implicit"),
+        f["disclosure_risk"].alias("disclosure_risk"), f["source"].alias("source"), F.col("span"),
+    )
+    j = j.withColumn("out", F.when(F.col("counts"), own).when(~F.col("covered") & (F.col("i") == 1), rescued(pack, least))).where("out is not null")
+    j = j.select(*KEYS, "slide_no", "hits", "out.*")
     raised = disclosed() & F.col("span").isNotNull() & F.exists("hits", lambda h: (h["category"] == pack.disclosure_category) & overlaps(h["s"], h["e"], F.col("span.s"), F.col("span.e")))
-    both = both.withColumn("disclosure_risk", F.col("disclosure_risk") | raised)
-    return both.where((F.col("grade") != "C") | F.col("disclosure_risk")).drop("text", "hits")
+    j = j.withColumn("disclosure_risk", F.col("disclosure_risk") | raised)
+    return j.where((F.col("grade") != "C") | F.col("disclosure_risk")).drop("hits")
 
 
 def sorted_findings(findings: DataFrame) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.functions.text import bigrams, dice, normalise
+from spanloom.functions.text import bigrams, dice, normalise, strip
+from spanloom.operators.recall import phrase_pattern
 
 GOLD = ("match", "miss", "regrade", "gold")
 #: Particles that end a Korean word, in the order they are tried.
@@ -33,17 +38,27 @@ def keywords(quote: str = "quote", limit: int = 4):
 
 
 def fold(corrections: DataFrame) -> DataFrame:
-    """(para_key, quote, kind, grade, risk, category, seq): the last record of each quote of each paragraph.
+    """(para_key, quote, kind, grade, risk, category, seq, para_at, quote_at): the last record of each quote of each paragraph.
 
     ``corrections``: seq, type, text, quote, grade, risk, category. Texts under 6 characters, empty quotes and
     other types don't count; a type outside the gold ones and fp still takes the place of earlier records.
+    para_at and quote_at tell where the paragraph and the quote in it came first, which later records don't move.
     """
-    c = corrections.withColumn("text", F.trim("text")).withColumn("quote", F.trim("quote")).where("length(text) >= 6 and length(quote) > 0")
+    c = corrections.withColumn("text", strip("text")).withColumn("quote", strip("quote")).where("length(text) >= 6 and length(quote) > 0")
     c = c.withColumn("para_key", normalise("text"))
-    last = Window.partitionBy("para_key", "quote").orderBy(F.desc("seq"))
-    c = c.withColumn("n", F.row_number().over(last)).where("n = 1")
+    one = Window.partitionBy("para_key", "quote")
+    c = c.withColumn("quote_at", F.min("seq").over(one)).withColumn("n", F.row_number().over(one.orderBy(F.desc("seq"))))
+    c = c.withColumn("para_at", F.min("quote_at").over(Window.partitionBy("para_key"))).where("n = 1")
     kind = F.when(F.col("type").isin(*GOLD), "gold").when(F.col("type") == "fp", "neg")
-    return c.select("para_key", "quote", kind.alias("kind"), F.upper(F.coalesce("grade", F.lit("B"))).alias("grade"), F.coalesce("risk", F.lit(False)).alias("risk"), "category", "seq").where("kind is not null")
+    return c.select("para_key", "quote", kind.alias("kind"), F.upper(F.coalesce("grade", F.lit("B"))).alias("grade"), F.coalesce("risk", F.lit(False)).alias("risk"), "category", "seq", "para_at", "quote_at").where("kind is not null")
+
+
+def paragraphs(corrections: DataFrame) -> DataFrame:
+    """(para_key, text, date, grams): of each remembered paragraph its longest text (the first of equals), its last date that is not empty, and its bigrams."""
+    c = corrections.withColumn("text", strip("text")).where("length(text) >= 6").withColumn("para_key", normalise("text"))
+    dated = F.when(F.length("date") > 0, F.col("seq"))
+    p = c.groupBy("para_key").agg(F.max_by("text", F.struct(F.length("text"), -F.col("seq"))).alias("text"), F.max_by("date", dated).alias("date"))
+    return p.withColumn("grams", bigrams("text"))
 
 
 def without_sources(index: DataFrame, exclude_keys: DataFrame) -> DataFrame:
@@ -51,11 +66,15 @@ def without_sources(index: DataFrame, exclude_keys: DataFrame) -> DataFrame:
     return index.join(exclude_keys.select("para_key"), "para_key", "left_anti")
 
 
-def consistent(folded: DataFrame) -> DataFrame:
-    """Without quotes that are gold somewhere and wrong elsewhere; the first paragraph of a quote stands for all."""
+def consistent(folded: DataFrame, least_gold: int = 3, least_neg: int = 6) -> DataFrame:
+    """Without quotes that are gold somewhere and wrong elsewhere; the first paragraph of a quote, by where it came first, stands for all.
+
+    Normalised quotes under ``least_gold`` characters make no rule and under ``least_neg`` no exclusion, but still conflict.
+    """
     q = folded.withColumn("norm", normalise("quote"))
     clean = q.groupBy("norm").agg(F.count_distinct("kind").alias("kinds")).where("kinds = 1").select("norm")
-    first = Window.partitionBy("norm").orderBy("seq", "para_key")
+    q = q.where(F.length("norm") >= F.when(F.col("kind") == "gold", least_gold).otherwise(least_neg))
+    first = Window.partitionBy("norm").orderBy("para_at", "para_key", "quote_at")
     return q.join(clean, "norm").withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
 
 
@@ -88,15 +107,22 @@ def match_paragraphs(queries: DataFrame, memory: DataFrame, similarity: float =
     return exact.unionByName(near)
 
 
-def apply_excludes(findings: DataFrame, excludes: DataFrame) -> DataFrame:
-    """Findings without those whose quote holds an excluded one or lies in it; memory and disclosure stay.
+def apply_excludes(findings: DataFrame, excludes: Iterable[str]) -> DataFrame:
+    """Findings without those whose quote holds an excluded one, lies in it, or is it with other numbers and blanks; memory and disclosure stay.
 
-    ``excludes``: norm (normalised quote), a small curated list. Findings keep their row.
+    ``excludes``: the quotes that people rejected, of a curated list. They become literal conditions of one plan,
+    as rules do, so findings keep their row and nothing is joined.
     """
-    f = findings.withColumn("q", normalise("quote"))
+    q = normalise("quote")
     bound = (F.col("source") == "memory") | F.col("disclosure_risk")
-    hit = F.col("q").contains(F.col("norm")) | ((F.length("q") >= 6) & F.col("norm").contains(F.col("q")))
-    return f.join(excludes.select("norm"), ~bound & hit, "left_anti").drop("q")
+
+    def hit(text: str):
+        norm, pattern = " ".join(text.split()).lower(), phrase_pattern(text)
+        found = q.contains(norm) | ((F.length(q) >= 6) & F.lit(norm).contains(q))
+        return found | F.col("quote").rlike(f"(?U){pattern}") if pattern else found
+
+    told = [hit(x) for x in excludes if x and x.strip()]
+    return findings.where(bound | ~reduce(or_, told)) if told else findings
 
 
 def top_examples(scores: DataFrame, k_include: int = 8, k_exclude: int = 4) -> DataFrame:

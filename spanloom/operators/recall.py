@@ -44,6 +44,7 @@ class PhraseRule:
     category: str = ""
     tokens: tuple[str, ...] = field(default=())
     disclosure: bool = False
+    grade: str = "A"
 
 
 def _phrase_span(text: Column, rule: PhraseRule) -> Column:
@@ -83,10 +84,10 @@ def phrase_hits(segs: DataFrame, rules: Iterable[PhraseRule], text_col: str = "t
         span = F.coalesce(_phrase_span(text, r), _words_span(text, F.col("_sents"), r))
         told = [F.lit(r.rid).alias("rid"), F.lit(r.category).alias("category"), F.lit(WEIGHT).alias("weight")]
         solid = F.filter(F.array(trimmed(text, span["s"], span["e"])), lambda x: x["s"] < x["e"])
-        return F.transform(solid, lambda x: F.struct(*told, x["s"].alias("s"), x["e"].alias("e"), F.substr(text, x["s"] + 1, x["e"] - x["s"]).alias("matched"), F.lit(r.disclosure).alias("disclosure")))
+        return F.transform(solid, lambda x: F.struct(*told, x["s"].alias("s"), x["e"].alias("e"), F.substr(text, x["s"] + 1, x["e"] - x["s"]).alias("matched"), F.lit(r.disclosure).alias("disclosure"), F.lit(r.grade).alias("grade")))
 
     hits = [hit(r) for r in rules]
-    none = F.expr("cast(array() as array<struct<rid:string,category:string,weight:int,s:int,e:int,matched:string,disclosure:boolean>>)")
+    none = F.expr("cast(array() as array<struct<rid:string,category:string,weight:int,s:int,e:int,matched:string,disclosure:boolean,grade:string>>)")
     df = segs.withColumn("_sents", sentences(text_col))
     return df.withColumn("phrase_hits", F.flatten(F.array(*hits)) if hits else none).drop("_sents")
 
@@ -165,5 +166,5 @@ def rescue_confirmed(findings: DataFrame, hit_segs: DataFrame) -> DataFrame:
         return F.when(taken, a).otherwise(more)
 
     df = df.where(~F.coalesce("whole", F.lit(False))).withColumn("h", F.explode(F.aggregate("phrase_hits", zero, step, lambda a: a["new"])))
-    new = df.select(*KEYS, "slide_no", F.col("h.matched").alias("quote"), F.lit("A").alias("grade"), F.col("h.category").alias("category"), F.lit(False).alias("implicit"), F.col("h.disclosure").alias("disclosure_risk"), F.lit("memory").alias("source"), F.struct("h.s", "h.e").alias("span"))
+    new = df.select(*KEYS, "slide_no", F.col("h.matched").alias("quote"), F.col("h.grade").alias("grade"), F.col("h.category").alias("category"), F.lit(False).alias("implicit"), F.col("h.disclosure").alias("disclosure_risk"), F.lit("memory").alias("source"), F.struct("h.s", "h.e").alias("span"))
     return findings.select(new.columns).unionByName(new)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.functions.spans import overlaps
+from spanloom.functions.text import strip
+
 
 def run_spans(runs: DataFrame) -> DataFrame:
     """(doc_id, para_id, s, e, colour): neighbouring runs of one colour as one span; tool runs are taken out of the text.
@@ -29,34 +31,33 @@ def fingerprint(segs: DataFrame, kinds: tuple[str, ...] = ("title", "body", "tab
     return texts.select("doc_id", F.substring(F.sha2(joined.cast("binary"), 256), 1, 24).alias("fingerprint"))
 
 
-_PAIRED = "doc_id long, seg_id int, hid long, mid long, type string"
-
-
 def pair_spans(human: DataFrame, model: DataFrame) -> DataFrame:
     """(doc_id, seg_id, hid, mid, type): each human span takes the first free model span that it overlaps.
 
     type: match (grade and risk alike), regrade, miss (no model span), fp (a model span left over). Both tables:
-    doc_id, seg_id, hid or mid (their order), s, e, grade, risk. A segment's spans are few, so its pairing is
-    one small group.
+    doc_id, seg_id, hid or mid (their order), s, e, grade, risk. A segment's spans meet as two sorted arrays of
+    one row, and one pass over the human ones takes model spans away.
     """
+    keys = ["doc_id", "seg_id"]
+
+    def by_segment(df: DataFrame, ord_: str, name: str) -> DataFrame:
+        one = F.struct(F.col(ord_).cast("long").alias("ord"), F.col("s").cast("int").alias("s"), F.col("e").cast("int").alias("e"), "grade", "risk")
+        return df.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias(name))
+
+    none = F.expr("cast(array() as array<struct<ord:bigint,s:int,e:int,grade:string,risk:boolean>>)")
+    done = F.expr("cast(array() as array<struct<hid:bigint,mid:bigint,type:string>>)")
+    pair = lambda hid, mid, kind: F.array(F.struct(hid.cast("long").alias("hid"), mid.cast("long").alias("mid"), kind.alias("type")))
+
+    def step(acc, x):
+        hit = F.get(F.filter(acc["free"], lambda y: overlaps(y["s"], y["e"], x["s"], x["e"])), F.lit(0))
+        kind = F.when(hit.isNull(), "miss").when(hit["grade"].eqNullSafe(x["grade"]) & hit["risk"].eqNullSafe(x["risk"]), "match").otherwise("regrade")
+        left = F.filter(acc["free"], lambda y: hit.isNull() | (y["ord"] != hit["ord"]))
+        return F.struct(left.alias("free"), F.concat(acc["out"], pair(x["ord"], hit["ord"], kind)).alias("out"))
 
-    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, m = (pdf[pdf["side"] == x].sort_values("ord") for x in ("h", "m"))
-        free, out = list(m.itertuples()), []
-        for x in h.itertuples():
-            hit = next((y for y in free if y.e > x.s and y.s < x.e), None)
-            if hit is None:
-                out.append((x.doc_id, x.seg_id, x.ord, None, "miss"))
-            else:
-                free.remove(hit)
-                out.append((x.doc_id, x.seg_id, x.ord, hit.ord, "match" if (hit.grade, hit.risk) == (x.grade, x.risk) else "regrade"))
-        out += [(y.doc_id, y.seg_id, None, y.ord, "fp") for y in free]
-        df = pd.DataFrame(out, columns=["doc_id", "seg_id", "hid", "mid", "type"])
-        return df.astype({"hid": "Int64", "mid": "Int64"})
-
-    cols = ["doc_id", "seg_id", "s", "e", "grade", "risk"]
-    both = human.select(*cols, F.col("hid").alias("ord"), F.lit("h").alias("side")).unionByName(model.where("s is not null").select(*cols, F.col("mid").alias("ord"), F.lit("m").alias("side")))
-    return both.groupBy("doc_id", "seg_id").applyInPandas(pair, _PAIRED)
+    both = by_segment(human, "hid", "h").join(by_segment(model.where("s is not null"), "mid", "m"), keys, "full_outer")
+    rest = lambda acc: F.concat(acc["out"], F.transform(acc["free"], lambda y: F.struct(F.lit(None).cast("long").alias("hid"), y["ord"].alias("mid"), F.lit("fp").alias("type"))))
+    found = F.aggregate(F.coalesce("h", none), F.struct(F.coalesce("m", none).alias("free"), done.alias("out")), step, rest)
+    return both.select(*keys, F.explode(found).alias("x")).select(*keys, "x.*")
 
 
 def counts(paired: DataFrame) -> DataFrame:
@@ -85,7 +86,7 @@ def pack_batches(segs: DataFrame, budget: int, overhead: int = 16) -> DataFrame:
 
 def upsert_pool(corrections: DataFrame) -> DataFrame:
     """Newest record of each quote (its first 80 characters), newest first; matches and quotes under two characters are left out."""
-    c = corrections.where(F.col("type").isin("fp", "miss", "gold", "regrade")).withColumn("quote", F.trim("quote")).where("length(quote) >= 2")
+    c = corrections.where(F.col("type").isin("fp", "miss", "gold", "regrade")).withColumn("quote", strip("quote")).where("length(quote) >= 2")
     c = c.withColumn("quote", F.substring("quote", 1, 80))
     last = Window.partitionBy("quote").orderBy(F.desc("seq"))
     c = c.withColumn("n", F.row_number().over(last)).where("n = 1").drop("n")

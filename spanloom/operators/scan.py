@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.spans import overlaps
-from spanloom.functions.text import col, matches, readable
+from spanloom.functions.text import col, matches, readable, strip
 from spanloom.operators.rules import Pack, Rule
 
 #: Texts that are no content, fixed values.
@@ -15,7 +15,7 @@ SKIP_LABELS = ("대외비", "목차", "감사합니다", "Agenda", "Q&A")
 
 def segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, seg_id, slide_no, kind, text): non-blank lines in order, five to a slide, the first one the title."""
-    lines = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: F.trim(x) != "")
+    lines = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: x.rlike(r"(?U)\S"))
     df = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(lines).alias("i", "text"))
     kind = F.when(F.col("i") == 0, "title").otherwise("body")
     return df.select("doc_id", (F.col("i") + 1).alias("seg_id"), (F.floor(F.col("i") / 5) + 1).cast("int").alias("slide_no"), kind.alias("kind"), "text")
@@ -38,7 +38,7 @@ def _hits(rule: Rule, text_col: str) -> Column:
 
 def prescreen(segs: DataFrame, min_chars: int = 6, scan_all: bool = True) -> DataFrame:
     """Segments worth judging; with ``scan_all`` off, only those with hits."""
-    df = segs.where(F.length("text") >= min_chars).where(~F.trim("text").isin(*SKIP_LABELS))
+    df = segs.where(F.length("text") >= min_chars).where(~strip("text").isin(*SKIP_LABELS))
     return df if scan_all else df.where(F.size("hits") > 0)
 
 
@@ -85,13 +85,17 @@ def best_hit(hits: str = "hits") -> Column:
     return F.get(hits, -order["i"])
 
 
-def rescue(scanned: DataFrame, pack: Pack, least: int = 8) -> DataFrame:
-    """Findings for segments that rules alone make worth keeping: a score of ``least`` or a disclosure, and no mere noise."""
-    df = scanned.where(F.size("hits") > 0).withColumn("score", score(pack)).withColumn("risk", disclosed()).withColumn("noise", is_noise(pack))
-    df = df.where((F.col("score") >= least) | F.col("risk")).where(~F.col("noise") | F.col("risk"))
-    df = df.withColumn("top", best_hit()).withColumn("span", readable("text", F.col("top.s"), F.col("top.e")))
-    quote = F.trim(F.substr(F.col("text"), F.col("span.s") + 1, F.col("span.e") - F.col("span.s")))
-    return df.select(
-        "doc_id", "seg_id", "slide_no", quote.alias("quote"), F.lit("B").alias("grade"), F.col("top.category").alias("category"),
-        F.col("top.category").isin(*pack.implicit).alias("implicit"), F.col("risk").alias("disclosure_risk"), F.lit("lexicon").alias("source"), "span",
+def rescued(pack: Pack, least: int = 8) -> Column:
+    """The finding of a scanned segment that rules alone make worth keeping: a score of ``least`` or a disclosure, and no mere noise; else null."""
+    risk, top = disclosed(), best_hit()
+    span = readable("text", top["s"], top["e"])
+    finding = F.struct(
+        strip(F.substr(F.col("text"), span["s"] + 1, span["e"] - span["s"])).alias("quote"), F.lit("B").alias("grade"), top["category"].alias("category"),
+        top["category"].isin(*pack.implicit).alias("implicit"), risk.alias("disclosure_risk"), F.lit("lexicon").alias("source"), span.alias("span"),
     )
+    return F.when((F.size("hits") > 0) & ((score(pack) >= least) | risk) & (~is_noise(pack) | risk), finding)
+
+
+def rescue(scanned: DataFrame, pack: Pack, least: int = 8) -> DataFrame:
+    """The findings of all scanned segments that rules alone make worth keeping. Give it what prescreen() left."""
+    return scanned.select("doc_id", "seg_id", "slide_no", rescued(pack, least).alias("f")).where("f is not null").select("doc_id", "seg_id", "slide_no", "f.*")

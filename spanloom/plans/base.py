@@ -16,15 +16,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files make fewer partitions than there are; larger tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.segments(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scan.segments(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.scan(segments(spark, sf_dir), CORPUS)
 
 
-def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge.pick_judge(segments(spark, sf_dir), PICKERS)
+def screened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scanned segments that are worth judging."""
+    return scan.prescreen(scanned(spark, sf_dir))
 
 
+def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge.pick_judge(segments(spark, sf_dir), PICKERS)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import text as T
 from spanloom.operators import evaluate, judge, marks, memory, review, scan
 from spanloom.operators.rules import CORPUS
-from spanloom.plans.base import findings, scanned, segments, table
+from spanloom.plans.base import findings, scanned, screened, segments, spread, table
 
 
 def segment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,11 +39,11 @@ def noise_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rescue_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: scan, score, rescue what rules alone make worth keeping, and merge the spans into marks."""
-    return marks.build_marks(scan.rescue(scanned(spark, sf_dir), CORPUS))
+    return marks.build_marks(scan.rescue(screened(spark, sf_dir), CORPUS))
 
 
 def readable_span(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = scan.rescue(scanned(spark, sf_dir), CORPUS)
+    f = scan.rescue(screened(spark, sf_dir), CORPUS)
     return f.select("doc_id", "seg_id", F.col("span.s").alias("s"), F.col("span.e").alias("e"), "category", "disclosure_risk")
 
 
@@ -65,7 +65,7 @@ def quote_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resolve_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = marks.resolve(findings(spark, sf_dir), scanned(spark, sf_dir), CORPUS)
+    f = marks.resolve(findings(spark, sf_dir), screened(spark, sf_dir), CORPUS)
     return f.select("doc_id", "seg_id", "grade", "category", "disclosure_risk", "source", F.col("span.s").alias("s"), F.col("span.e").alias("e"))
 
 
@@ -93,7 +93,7 @@ def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = segments(spark, sf_dir).where("kind = 'title'")
-    return s.groupBy("doc_id").agg(F.trim(F.min_by("text", "seg_id")).alias("title"))
+    return s.groupBy("doc_id").agg(T.strip(F.min_by("text", "seg_id")).alias("title"))
 
 
 def batch_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +105,7 @@ def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Synthetic corrections: three of the findings' fates by segment, in order of document and segment."""
     f = findings(spark, sf_dir).join(segments(spark, sf_dir).select("doc_id", "seg_id", "text"), ["doc_id", "seg_id"])
     kind = F.when(F.col("seg_id") % 5 == 0, "fp").when(F.col("seg_id") % 7 == 0, "regrade").otherwise("match")
-    return f.select((F.col("doc_id") * 100000 + F.col("seg_id")).alias("seq"), kind.alias("type"), "text", "quote", "grade", F.col("disclosure_risk").alias("risk"), "category")
+    return f.select((F.shiftleft("doc_id", 32) + F.col("seg_id")).alias("seq"), kind.alias("type"), "text", "quote", "grade", F.col("disclosure_risk").alias("risk"), "category")
 
 
 def lww_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,16 +130,26 @@ def memory_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def apply_excludes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ex = spark.createDataFrame([("10",), ("tional",), ("tioned",)], "norm string")
-    return memory.apply_excludes(findings(spark, sf_dir), ex).select("doc_id", "seg_id", "quote")
+    return memory.apply_excludes(findings(spark, sf_dir), ["10", "tional", "tioned", "4 7"]).select("doc_id", "seg_id", "quote")
+
+
+#: Queries that are broadcast at most; above that the vectors of either side are dealt to blocks.
+FEW_VECTORS, BLOCKS = 20_000, 64
 
 
 def example_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors whose id is divisible by 100 against all others, blocks of examples by label parity as kinds."""
-    e = table(spark, sf_dir, "embeddings")
+    e = spread(table(spark, sf_dir, "embeddings"))
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("a"))
     pool = e.select(F.col("vec_id").alias("pool_ord"), F.col("embedding").alias("b"), F.when(F.col("label") % 2 == 0, "include").otherwise("exclude").alias("kind"))
-    s = pool.join(F.broadcast(q), F.col("qid") != F.col("pool_ord")).select("qid", "pool_ord", "kind", F.round(memory.cosine("a", "b"), 6).alias("score"))
+    if q.count() <= FEW_VECTORS:
+        pairs = pool.join(F.broadcast(q), F.col("qid") != F.col("pool_ord"))
+    else:
+        # every block of queries meets every row of the pool, which stays in its partitions
+        held = q.groupBy(F.pmod(F.xxhash64("qid"), F.lit(BLOCKS)).alias("block")).agg(F.collect_list(F.struct("qid", "a")).alias("qs"))
+        rows = pool.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long"))))
+        pairs = rows.join(held, "block").select("pool_ord", "b", "kind", F.inline("qs")).where("qid <> pool_ord")
+    s = pairs.select("qid", "pool_ord", "kind", F.round(memory.cosine("a", "b"), 6).alias("score"))
     return memory.top_examples(s).select("qid", "kind", "pool_ord", "score")
 
 
@@ -147,12 +157,12 @@ def _golds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every third hit is gold, of the grade that its weight gives."""
     h = scanned(spark, sf_dir).select("doc_id", "seg_id", F.posexplode("hits").alias("i", "h")).where("(seg_id + i) % 3 = 0")
     grade = F.when(F.col("h.weight") >= 6, "A").otherwise("B")
-    return h.select("doc_id", "seg_id", (F.col("doc_id") * 100000000 + F.col("seg_id") * 10000 + F.col("i")).alias("gid"), "h.s", "h.e", grade.alias("grade"), F.col("h.disclosure").alias("risk"))
+    return h.select("doc_id", "seg_id", F.col("i").cast("long").alias("gid"), "h.s", "h.e", grade.alias("grade"), F.col("h.disclosure").alias("risk"))
 
 
 def _preds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = marks.resolve(findings(spark, sf_dir), scanned(spark, sf_dir), CORPUS)
-    return f.select("doc_id", "seg_id", (F.col("doc_id") * 100000 + F.col("seg_id")).alias("pid"), F.col("span.s").alias("s"), F.col("span.e").alias("e"), "grade", F.col("disclosure_risk").alias("risk"))
+    f = marks.resolve(findings(spark, sf_dir), screened(spark, sf_dir), CORPUS)
+    return f.select("doc_id", "seg_id", F.lit(0).cast("long").alias("pid"), F.col("span.s").alias("s"), F.col("span.e").alias("e"), "grade", F.col("disclosure_risk").alias("risk"))
 
 
 def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,8 +171,8 @@ def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def eval_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From rules alone to judge and rules."""
-    base = scan.rescue(scanned(spark, sf_dir), CORPUS)
-    base = base.select("doc_id", "seg_id", (F.col("doc_id") * 100000 + F.col("seg_id")).alias("pid"), F.col("span.s").alias("s"), F.col("span.e").alias("e"), "grade", F.col("disclosure_risk").alias("risk"))
+    base = scan.rescue(screened(spark, sf_dir), CORPUS)
+    base = base.select("doc_id", "seg_id", F.lit(0).cast("long").alias("pid"), F.col("span.s").alias("s"), F.col("span.e").alias("e"), "grade", F.col("disclosure_risk").alias("risk"))
     return evaluate.fixes(base, _preds(spark, sf_dir), _golds(spark, sf_dir))
 
 
@@ -174,9 +184,9 @@ def review_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = marks.resolve(findings(spark, sf_dir), scanned(spark, sf_dir), CORPUS)
+    f = marks.resolve(findings(spark, sf_dir), screened(spark, sf_dir), CORPUS)
     n = lambda c, name: F.count_if(c).alias(name)
-    return f.agg(F.count("*").alias("n"), n(F.col("grade") == "A", "a"), n(F.col("grade") == "B", "b"), n(F.col("disclosure_risk"), "risk"), n(F.col("implicit"), "implicit"), n((F.col("source") == "llm") & F.col("span").isNotNull(), "located"))
+    return f.agg(F.count("*").alias("n"), n(F.col("grade") == "A", "a"), n(F.col("grade") == "B", "b"), n(F.col("disclosure_risk"), "risk"), n(F.col("implicit"), "implicit"), n(F.col("source") == "llm", "llm"), n((F.col("source") == "llm") & F.col("span").isNotNull(), "located")).withColumn("located_share", F.when(F.col("llm") > 0, F.bround(F.col("located") / F.col("llm"), 3)))
 
 
 def run_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
