@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, importance, licenses, quality_rules, sentencepiece_codec, simhash, suffix_dedup, token_counts, token_files
-from .common import shared_dir, table
+from .common import shared_dir, spread, table
 
 
 def tokenizer_file(name: str) -> str:
@@ -18,17 +18,21 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents", "doc_id", "text", *columns))
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicate_components(table(spark, sf_dir, "documents", "doc_id", "text"), k=3, radius=2, seed=42)
+    found = simhash.near_duplicate_components(documents(spark, sf_dir), k=3, radius=2, seed=42)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), window=400).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir), window=400).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op3_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = importance.classify(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+    found = importance.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
     return found.select("doc_id", F.round("weight", 6).alias("weight"), "kept")
 
 
@@ -39,16 +43,16 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_file("byte_bpe_50k.json"), limit=1024)
+    return token_counts.count_tokens(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), limit=1024)
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sentencepiece_codec.encode_texts(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_file("piece_bpe_32k.model"))
+    found = sentencepiece_codec.encode_texts(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
     return found.select("doc_id", "n_pieces", "ids_crc32", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality_rules.apply_rules(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+    found = quality_rules.apply_rules(documents(spark, sf_dir, "lang"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -60,13 +64,13 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.find_contamination(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    found = decontaminate.find_contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark", "item_id", "text"))
     hit = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), decontaminate.digest_of().alias("items_sha256"), hit.alias("contaminated"))
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(table(spark, sf_dir, "documents", "doc_id", "text")).drop("blocks")
+    return licenses.scan_licenses(documents(spark, sf_dir)).drop("blocks")
 
 
 QUERIES = {
