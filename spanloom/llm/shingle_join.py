@@ -29,14 +29,15 @@ from .common import bound_batches, checkpoint, claim, encoded, materialise
 from .components import connected_components
 from .simhash import BITS, _signed, covering_links
 
-#: Texts from which common shingles are learnt, in how many of them one is common, and how many are told apart.
-SAMPLE, COMMON, MAX_COMMON = 8_000, 3, 100_000
+#: Common shingles are learnt from so many texts, or from every STEP-th where that is more; in how many of them one is
+#: common, and how many are told apart.
+SAMPLE, STEP, COMMON, MAX_COMMON = 8_000, 8, 3, 100_000
 #: Pairs a member of a bucket may have on average before pivots are tried first, at most so many of a bucket, for as
 #: many rounds at most as each takes a tenth of what is open. All pairs come after.
-DENSE, PIVOTS, ROUNDS = 2, 8, 6
+DENSE, PIVOTS, ROUNDS = 16, 8, 6
 EPS = 1e-6
 #: Words of 64 bits of a set's bitmap.
-MAP = 8
+MAP = 4
 _MAPS = [f"m{i}" for i in range(MAP)]
 #: Texts that pairs name, up to which their ids are broadcast so that only those texts are moved.
 FEW_IDS = 500_000
@@ -78,7 +79,7 @@ def common_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
             h = [shingles(encoded(t.as_py()), k) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64) if h else [], pa.int64())], ["h"])
 
-    step = max(1, docs.count() // SAMPLE)
+    step = min(STEP, max(1, docs.count() // SAMPLE))
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).select("text").mapInArrow(run, "h long")
     found = some.groupBy("h").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(MAX_COMMON).toPandas()
     h = found["h"].to_numpy(np.int64).view(np.uint64)
