@@ -91,3 +91,50 @@ def test_answers_are_repaired(spark):
 
 def test_user_rules_count_skipped_entries():
     assert [r.rid for r in user_rules(["x", "two words", None, "ok."])] == ["USER_2", "USER_4"]
+
+
+def test_exclusions_take_other_numbers(spark):
+    f = spark.createDataFrame([("cost 9% down", False, "llm"), ("cost 9% down", True, "llm"), ("cost 9% down", False, "memory"), ("unlike", False, "llm")], "quote string, disclosure_risk boolean, source string")
+    got = sorted((r["quote"], r["disclosure_risk"], r["source"]) for r in memory.apply_excludes(f, ["cost 12% down"]).collect())
+    assert got == [("cost 9% down", False, "memory"), ("cost 9% down", True, "llm"), ("unlike", False, "llm")]
+    assert memory.apply_excludes(f, []).count() == 4
+
+
+def test_flags_that_are_strings_are_true_and_a_null_short_key_hides_the_long_one(spark):
+    items = '[{"i":1,"d":"false"},{"i":2,"d":false},{"i":3,"d":null,"disclosure_risk":true},{"i":"4","disclosure_risk":1},{"i":5,"m":0,"c":"효과만기재"},7]'
+    a = spark.createDataFrame([(1, 1, items)], "doc_id long, slide_no int, content string")
+    got = sorted((r["seg_id"], r["disclosure_risk"], r["implicit"]) for r in judge.parse_answers(a).collect())
+    assert got == [(1, True, True), (2, False, True), (3, False, True), (4, True, True), (5, False, False)]
+
+
+def test_false_positives_without_a_span_cover_their_segment(spark):
+    s = "doc_id long, seg_id int, {} long, s int, e int, grade string, risk boolean"
+    base = spark.createDataFrame([(1, 1, 0, None, None, "A", False), (1, 2, 0, 0, 3, "A", False)], s.format("pid"))
+    cur = spark.createDataFrame([(1, 1, 0, 4, 6, "A", False), (1, 3, 0, None, None, "B", False)], s.format("pid"))
+    golds = spark.createDataFrame([(1, 3, 0, 2, 3, "A", False), (1, 2, 0, 9, 12, "A", False)], s.format("gid"))
+    assert tuple(evaluate.fixes(base, cur, golds).first()) == (1, 0, 1, 0)
+    segs = spark.createDataFrame([(1, i, "abcdefghijklm") for i in (1, 2, 3)], "doc_id long, seg_id int, text string")
+    got = {r["change"]: r["quotes"] for r in evaluate.kept_quotes(evaluate.changes(base, cur, golds), segs).collect()}
+    assert got == {"miss_fixed": ["c"], "fp_fixed": ["abc"]}
+
+
+def test_index_keeps_the_first_paragraph_and_its_guards(spark):
+    rows = [(1, "gold", "first paragraph here", "phrase one"), (2, "gold", "second paragraph here", "phrase one"), (3, "gold", "first paragraph here", "phrase one"), (4, "gold", "second paragraph here", "ab"), (5, "fp", "second paragraph here", "short")]
+    c = spark.createDataFrame([(*r, "A", False, None, f"2026-01-0{r[0]}" if r[0] < 3 else "") for r in rows], "seq long, type string, text string, quote string, grade string, risk boolean, category string, date string")
+    got = [(r["norm"], r["para_key"], r["seq"]) for r in memory.consistent(memory.fold(c)).collect()]
+    assert got == [("phrase one", "first paragraph here", 3)]
+    assert {r["para_key"]: r["date"] for r in memory.paragraphs(c).collect()} == {"first paragraph here": "2026-01-01", "second paragraph here": "2026-01-02"}
+
+
+def test_lines_of_white_space_are_no_segments(spark):
+    d = spark.createDataFrame([(1, "a\n\t\n　\n b \n"), (2, None)], "doc_id long, text string")
+    assert [r["text"] for r in scan.segments(d).orderBy("seg_id").collect()] == ["a", " b "]
+
+
+def test_resolve_counts_graded_down_segments_as_covered(spark):
+    # the claim of mere status goes and its segment is rescued; noise without a rule on it is C and covers its segment
+    texts = ["특허 출원 현황, 전시회 공개", "매출 목표 물량 증가 전시회", "알고리즘 구조 개선 방식"]
+    segs = scan.scan(spark.createDataFrame([(1, i, 1, t) for i, t in enumerate(texts)], "doc_id long, seg_id int, slide_no int, text string"), KOREAN)
+    f = spark.createDataFrame([(1, 0, "특허 출원 현황", "A", "공개이력", False, True, "llm"), (1, 1, "매출", "A", "문제해결", False, False, "llm")], "doc_id long, seg_id int, quote string, grade string, category string, implicit boolean, disclosure_risk boolean, source string")
+    got = sorted((r["seg_id"], r["source"], r["grade"]) for r in marks.resolve(f, segs, KOREAN).collect())
+    assert got == [(0, "lexicon", "B"), (2, "lexicon", "B")]
