@@ -39,7 +39,7 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
 
     ``turns`` has conv_id, turn, role, text; other columns are ignored. Rows are ordered by turn (nulls
     first; ties by role, then text), repeated rows are turns of their own, a null role or text is empty, and
-    a null conv_id is a conversation like any other. loss lists the (start, length) in code points, 1-based,
+    a null conv_id is a conversation like any other. An empty table gives no rows. loss lists the (start, length) in code points, 1-based,
     of the escaped texts of ``loss_role``. One shuffle by conv_id serves the window and the aggregation.
     """
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))

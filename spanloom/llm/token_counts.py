@@ -165,7 +165,8 @@ def counter(path: str, huge: int = HUGE, memo_size: int = MEMO):
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
     """``(id, n_bytes, n_tokens, over_limit)`` for every row: UTF-8 bytes, library tokens, whether over ``limit``.
 
-    Null text counts as empty. ``path`` names a tokenizers .json file that every executor has. Special
+    Null text counts as empty; repeated rows and null ids count as rows; an empty table gives no rows; other
+    columns are ignored; a text is counted whole, however long. ``path`` names a tokenizers .json file that every executor has. Special
     strings inside texts are handled as the library's default; such texts are encoded in one piece.
     """
     bound_batches(docs.sparkSession)
