@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import normalise
@@ -100,3 +100,16 @@ def entered_and_left(before: DataFrame, after: DataFrame) -> DataFrame:
     b, a = keyed(before), keyed(after)
     came = a.join(b, ["kind", "q"], "left_anti").select("kind", "quote", F.lit("entered").alias("change"))
     return came.unionByName(b.join(a, ["kind", "q"], "left_anti").select("kind", "quote", F.lit("left").alias("change")))
+
+
+def list_changes(before: str, after: str) -> Column:
+    """(added, removed): members of two lists that the other has not, in order, repeats kept; a null list is empty."""
+    b, a = (F.coalesce(F.col(c), F.array().cast("array<string>")) for c in (before, after))
+    return F.struct(F.filter(a, lambda x: ~F.array_contains(b, x)).alias("added"), F.filter(b, lambda x: ~F.array_contains(a, x)).alias("removed"))
+
+
+def memory_stats(folded: DataFrame, rules: DataFrame, pool: DataFrame) -> DataFrame:
+    """One row: paras, rules, excludes, examples. ``folded``, ``rules``: see memory.fold(), memory.consistent(); ``pool``: the examples."""
+    kinds = rules.agg(F.count_if(F.col("kind") == "gold").alias("rules"), F.count_if(F.col("kind") == "neg").alias("excludes"))
+    paras = folded.agg(F.count_distinct("para_key").alias("paras"))
+    return paras.crossJoin(kinds).crossJoin(pool.agg(F.count("*").alias("examples")))

@@ -35,6 +35,11 @@ def build_marks(findings: DataFrame, whole_text: str = "text") -> DataFrame:
     return m.select(*KEYS, "slide_no", "s", "e", F.when(F.col("r") == 3, "A").when(F.col("r") == 2, "B").otherwise("C").alias("grade"), "risk")
 
 
+def markable(findings: DataFrame, segs: DataFrame) -> DataFrame:
+    """Findings whose segment exists and can be marked. ``segs``: doc_id, seg_id, markable; give build_marks() the rest."""
+    return findings.join(segs.where("markable").select(*KEYS), KEYS, "left_semi")
+
+
 def resolve(findings: DataFrame, scanned: DataFrame, pack: Pack, least: int = 8) -> DataFrame:
     """Findings of a judge, reconciled with the scan; the order of the steps counts.
 

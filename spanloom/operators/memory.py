@@ -125,6 +125,27 @@ def apply_excludes(findings: DataFrame, excludes: Iterable[str]) -> DataFrame:
     return findings.where(bound | ~reduce(or_, told)) if told else findings
 
 
+def example_scores(queries: DataFrame, pool: DataFrame, k: int = 8) -> DataFrame:
+    """(qid, pool_ord, kind, score): the greatest Dice coefficient of an example's bigrams with those of any text of a query.
+
+    ``queries``: qid, text (several rows a query; under 6 characters they don't count). ``pool``: pool_ord, kind,
+    text. Pairs meet by an equi join on bigrams. Examples that share none score 0: of these the first ``k`` of each
+    kind come with every query, which is as many as top_examples() can take.
+    """
+    q = queries.where(F.length(strip("text")) >= 6).withColumn("grams", bigrams("text")).where(F.size("grams") > 0)
+    q = q.select("qid", F.xxhash64("grams").alias("part"), "grams").dropDuplicates(["qid", "part"])
+    p = pool.withColumn("grams", bigrams("text"))
+    told = p.select("pool_ord", "kind", F.size("grams").alias("m"), F.explode("grams").alias("g"))
+    both = q.select("qid", "part", F.size("grams").alias("n"), F.explode("grams").alias("g")).join(told, "g")
+    both = both.groupBy("qid", "part", "pool_ord", "kind", "n", "m").agg(F.count("*").alias("c"))
+    scored = both.groupBy("qid", "pool_ord", "kind").agg(F.max(2.0 * F.col("c") / (F.col("n") + F.col("m"))).alias("score"))
+    first = p.withColumn("i", F.row_number().over(Window.partitionBy("kind").orderBy("pool_ord"))).where(F.col("i") <= k)
+    # at most k rows of each kind, so one array holds them
+    first = first.agg(F.collect_list(F.struct("pool_ord", "kind")).alias("x"))
+    rest = q.select("qid").distinct().join(F.broadcast(first)).select("qid", F.inline("x")).select("qid", "pool_ord", "kind", F.lit(0.0).alias("score"))
+    return scored.unionByName(rest).groupBy("qid", "pool_ord", "kind").agg(F.max("score").alias("score"))
+
+
 def top_examples(scores: DataFrame, k_include: int = 8, k_exclude: int = 4) -> DataFrame:
     """The best examples of each kind by score, pool order breaking ties. ``scores``: qid, pool_ord, kind, score."""
     w = Window.partitionBy("qid", "kind").orderBy(F.desc("score"), "pool_ord")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -14,6 +14,8 @@ from pyspark.sql.types import IntegerType, StructType
 
 from spanloom.functions.spans import overlaps
 from spanloom.functions.text import col, matches, sentences, trimmed
+from spanloom.operators.rules import Pack, user_rules
+from spanloom.operators.scan import scan
 
 KEYS = ["doc_id", "seg_id"]
 SPAN = "struct<s:int,e:int>"
@@ -92,6 +94,14 @@ def phrase_hits(segs: DataFrame, rules: Iterable[PhraseRule], text_col: str = "t
     return df.withColumn("phrase_hits", F.flatten(F.array(*hits)) if hits else none).drop("_sents")
 
 
+def scan_learned(segs: DataFrame, pack: Pack, keywords: Iterable[str] = (), phrases: Iterable[PhraseRule] = (), text_col: str = "text") -> DataFrame:
+    """Adds ``hits``: those of the pack, then of added keywords, then of confirmed phrases; score, noise, rescue and resolve take them all alike."""
+    whole = replace(pack, rules=(*pack.rules, *user_rules(list(keywords))))
+    df = phrase_hits(scan(segs, whole, text_col), phrases, text_col)
+    told = F.transform("phrase_hits", lambda h: F.struct(*[h[c].alias(c) for c in ("rid", "category", "weight", "s", "e", "matched", "disclosure")]))
+    return df.withColumn("hits", F.concat("hits", told)).drop("phrase_hits")
+
+
 def _loose(text: str, quote: str) -> tuple[int, int] | None:
     def bare(s: int, e: int) -> tuple[int, int]:
         inner = text[s:e]

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.spans import overlaps
 from spanloom.functions.text import strip
+from spanloom.operators.scan import probe
 
 
 def run_spans(runs: DataFrame) -> DataFrame:
@@ -44,6 +45,12 @@ def pair_spans(human: DataFrame, model: DataFrame) -> DataFrame:
         one = F.struct(F.col(ord_).cast("long").alias("ord"), F.col("s").cast("int").alias("s"), F.col("e").cast("int").alias("e"), "grade", "risk")
         return df.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias(name))
 
+    both = by_segment(human, "hid", "h").join(by_segment(model.where("s is not null"), "mid", "m"), keys, "full_outer")
+    return both.select(*keys, F.explode(_paired("h", "m")).alias("x")).select(*keys, "x.*")
+
+
+def _paired(human: str, model: str) -> Column:
+    """Array of (hid, mid, type) of two arrays of (ord, s, e, grade, risk), see pair_spans()."""
     none = F.expr("cast(array() as array<struct<ord:bigint,s:int,e:int,grade:string,risk:boolean>>)")
     done = F.expr("cast(array() as array<struct<hid:bigint,mid:bigint,type:string>>)")
     pair = lambda hid, mid, kind: F.array(F.struct(hid.cast("long").alias("hid"), mid.cast("long").alias("mid"), kind.alias("type")))
@@ -54,10 +61,52 @@ def pair_spans(human: DataFrame, model: DataFrame) -> DataFrame:
         left = F.filter(acc["free"], lambda y: hit.isNull() | (y["ord"] != hit["ord"]))
         return F.struct(left.alias("free"), F.concat(acc["out"], pair(x["ord"], hit["ord"], kind)).alias("out"))
 
-    both = by_segment(human, "hid", "h").join(by_segment(model.where("s is not null"), "mid", "m"), keys, "full_outer")
     rest = lambda acc: F.concat(acc["out"], F.transform(acc["free"], lambda y: F.struct(F.lit(None).cast("long").alias("hid"), y["ord"].alias("mid"), F.lit("fp").alias("type"))))
-    found = F.aggregate(F.coalesce("h", none), F.struct(F.coalesce("m", none).alias("free"), done.alias("out")), step, rest)
-    return both.select(*keys, F.explode(found).alias("x")).select(*keys, "x.*")
+    return F.aggregate(F.coalesce(human, none), F.struct(F.coalesce(model, none).alias("free"), done.alias("out")), step, rest)
+
+
+def diff(paras: DataFrame, archive: DataFrame, near: int = 2, back: int = 30) -> DataFrame:
+    """(doc_id, seg_id, mode, type, s, e, grade, risk, category, from_grade, from_risk, lexicon_gap): what a reviewer changed.
+
+    ``paras``: doc_id, seg_id, slide_no, fingerprint, text, hits, human (array of s, e, grade, risk in order), tags (array of
+    places). ``archive``: fingerprint, slide_no, text, s, e, grade, risk, category, mid (their order); findings
+    without a span (s null) only say that the document is archived. Documents with an archive are paired (match,
+    regrade, miss, fp). The others give each human span as gold and each tag with no human span ending within
+    ``near`` of it as fp, on the ``back`` characters before it. A paragraph has the archive's findings of its slide
+    and text. Misses, golds and orphan tags take their category from the scan; lexicon_gap tells that it has none there.
+    """
+    one = F.struct(F.col("mid").cast("long").alias("ord"), F.col("s").cast("int").alias("s"), F.col("e").cast("int").alias("e"), "grade", "risk", "category")
+    told = archive.where("s is not null").groupBy("fingerprint", "slide_no", "text").agg(F.array_sort(F.collect_list(one)).alias("model"))
+    known = archive.select("fingerprint").distinct().withColumn("archived", F.lit(True))
+    p = paras.join(known, "fingerprint", "left").join(told, ["fingerprint", "slide_no", "text"], "left")
+    p = p.withColumn("h", F.transform("human", lambda x, i: F.struct(i.cast("long").alias("ord"), x["s"].cast("int").alias("s"), x["e"].cast("int").alias("e"), x["grade"].alias("grade"), x["risk"].alias("risk"))))
+    p = p.withColumn("m", F.transform("model", lambda x: F.struct(*[x[c].alias(c) for c in ("ord", "s", "e", "grade", "risk")])))
+
+    def item(kind, x, category, was=None, gap=None) -> Column:
+        old = lambda c, t: (F.lit(None).cast(t) if was is None else F.when(kind == "regrade", was[c])).alias(f"from_{c}")
+        missing = F.lit(None).cast("boolean") if gap is None else gap
+        return F.struct(kind.alias("type"), x["s"].alias("s"), x["e"].alias("e"), x["grade"].alias("grade"), x["risk"].alias("risk"), category.alias("category"), old("grade", "string"), old("risk", "boolean"), missing.alias("lexicon_gap"))
+
+    def archived(x: Column) -> Column:
+        own = F.get(F.filter("h", lambda y: y["ord"] == x["hid"]), F.lit(0))
+        was = F.get(F.filter("model", lambda y: y["ord"] == x["mid"]), F.lit(0))
+        span = F.when(x["hid"].isNull(), F.struct(*[was[c].alias(c) for c in ("s", "e", "grade", "risk")])).otherwise(F.struct(*[own[c].alias(c) for c in ("s", "e", "grade", "risk")]))
+        found = probe(span["s"], span["e"])
+        return item(x["type"], span, F.when(x["type"] == "miss", found["category"]).otherwise(was["category"]), was, F.when(x["type"] == "miss", ~found["covered"]))
+
+    def gold(x: Column) -> Column:
+        found = probe(x["s"], x["e"])
+        return item(F.lit("gold"), x, found["category"], None, ~found["covered"])
+
+    def orphan(t: Column) -> Column:
+        x = F.struct(F.greatest(F.lit(0), t - back).cast("int").alias("s"), t.cast("int").alias("e"), F.lit("B").alias("grade"), F.lit(False).alias("risk"))
+        return item(F.lit("fp"), x, probe(x["s"], x["e"])["category"])
+
+    lost = F.filter("tags", lambda t: ~F.exists("h", lambda x: F.abs(x["e"] - t) <= near))
+    alone = F.concat(F.transform("h", gold), F.transform(lost, orphan))
+    items = F.when(F.col("archived"), F.transform(_paired("h", "m"), archived)).otherwise(alone)
+    mode = F.when(F.col("archived"), "archive").otherwise("labels")
+    return p.select("doc_id", "seg_id", mode.alias("mode"), F.explode(items).alias("x")).select("doc_id", "seg_id", "mode", "x.*")
 
 
 def counts(paired: DataFrame) -> DataFrame:

@@ -85,6 +85,13 @@ def best_hit(hits: str = "hits") -> Column:
     return F.get(hits, -order["i"])
 
 
+def probe(s: Column, e: Column, hits: str | Column = "hits") -> Column:
+    """(covered, category): whether any hit lies on a span, and the category of the heaviest that does, the first of equals."""
+    on = F.filter(col(hits), lambda h: overlaps(h["s"], h["e"], s, e))
+    top = F.array_max(F.transform(on, lambda h, i: F.struct(h["weight"].alias("w"), (-i).alias("i"))))
+    return F.struct((F.size(on) > 0).alias("covered"), F.get(F.transform(on, lambda h: h["category"]), -top["i"]).alias("category"))
+
+
 def rescued(pack: Pack, least: int = 8) -> Column:
     """The finding of a scanned segment that rules alone make worth keeping: a score of ``least`` or a disclosure, and no mere noise; else null."""
     risk, top = disclosed(), best_hit()
