@@ -109,6 +109,18 @@ def diff(paras: DataFrame, archive: DataFrame, near: int = 2, back: int = 30) ->
     return p.select("doc_id", "seg_id", mode.alias("mode"), F.explode(items).alias("x")).select("doc_id", "seg_id", "mode", "x.*")
 
 
+def first_reviews(files: DataFrame) -> DataFrame:
+    """Adds ``duplicate_of``: the name of the first readable file of the same fingerprint, where that is another.
+
+    ``files``: ord, filename, fingerprint, error. A broken file (error set) stays as it is and stands for no other.
+    """
+    good = F.col("error").isNull() & F.col("fingerprint").isNotNull()
+    first = files.where(good).groupBy("fingerprint").agg(F.min(F.struct("ord", "filename")).alias("first"))
+    j = files.join(first, "fingerprint", "left")
+    other = F.when(good & (F.col("first.ord") != F.col("ord")), F.col("first.filename"))
+    return j.select(*files.columns, other.alias("duplicate_of"))
+
+
 def counts(paired: DataFrame) -> DataFrame:
     """One row: match, miss, fp, regrade, and agree, the rounded share of matches in percent (halves to even)."""
     n = lambda t: F.count_if(F.col("type") == t).alias(t)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.operators import history, layout, marks, memory, recall, review, scan
+from spanloom.operators import history, layout, marks, memory, prompt, recall, review, scan
 from spanloom.operators.rules import CORPUS
 from spanloom.plans import queries as Q
 from spanloom.plans.base import findings, scanned, screened, segments, spread, table
@@ -65,7 +65,7 @@ def page_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = lambda i: F.conv(F.substring("x", 2 * i + 1, 2), 16, 10).cast("int") / 255
     d = _hex(spark, sf_dir).withColumn("v", F.slice(F.array(*[at(i) for i in range(4)]), F.lit(1), (F.col("doc_id") % 4 + 1).cast("int")))
     d = d.withColumn("c", layout.page_rgb("v")).withColumn("k", layout.cover(F.col("c"), layout.page_rgb(F.array(*[at(i) for i in range(4, 7)]))))
-    return d.where("c is not null").select("doc_id", *[F.round(F.col("c")[n], 6).alias(n) for n in "rgb"], "k.blend", F.round("k.strength", 6).alias("strength"))
+    return d.where("c is not null").select("doc_id", *[F.round(F.col("c")[n], 9).alias(n) for n in "rgb"], "k.blend", F.round("k.strength", 9).alias("strength"))
 
 
 def dark_ground(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +86,19 @@ def memory_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.memory_stats(folded, memory.consistent(folded), review.upsert_pool(Q.corrections(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (scan_learned, lexicon_probe, markable_marks, example_bigrams, review_diff, page_colours, dark_ground, list_changes, memory_stats)}
+def slide_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = prompt.slide_prompts(scanned(spark, sf_dir).withColumn("hints", scan.hints()))
+    return p.select("doc_id", "slide_no", F.md5("prompt").alias("prompt"))
+
+
+def first_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as review files, the last digit of their length as fingerprint and every ninth broken."""
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "n_chars"))
+    f = d.select(F.col("doc_id").alias("ord"), F.concat(F.lit("f"), F.col("doc_id")).alias("filename"), (F.col("n_chars") % 10).cast("string").alias("fingerprint"), F.when(F.col("doc_id") % 9 == 0, "broken").alias("error"))
+    return review.first_reviews(f)
+
+
+QUERIES = {f.__name__: f for f in (scan_learned, lexicon_probe, markable_marks, example_bigrams, review_diff, page_colours, dark_ground, list_changes, memory_stats, slide_prompts, first_reviews)}
 
 
 def _phrase(rule: recall.PhraseRule) -> str:
@@ -138,7 +150,16 @@ def _bright(first: int) -> str:
 
 _C = [f"CASE n WHEN 1 THEN v[1] WHEN 3 THEN v[{i}] ELSE (1 - v[{i}]) * (1 - v[4]) END AS {c}" for i, c in enumerate("rgb", 1)]
 _WORDS = "string_split(min(text) FILTER (seg_id = {0}), ' ')"
+_KIND = "CASE kind WHEN 'title' THEN '" + prompt.KINDS["title"] + "' ELSE '" + prompt.KINDS["body"] + "' END"
 ORACLE = {
+    "slide_prompts": f"""WITH {HITS}, c AS (SELECT doc_id, seg_id, string_agg(DISTINCT category, ', ' ORDER BY category) AS cats FROM hits GROUP BY ALL),
+d AS (SELECT doc_id, max(slide_no) AS total, trim(min(text) FILTER (kind = 'title')) AS title FROM seg GROUP BY doc_id),
+s AS (SELECT doc_id, slide_no, string_agg('#' || seg_id || ' [' || {_KIND} || '] ' || text, chr(10) ORDER BY seg_id) AS shown, string_agg('#' || seg_id || ' → ' || cats, chr(10) ORDER BY seg_id) AS told FROM seg LEFT JOIN c USING (doc_id, seg_id) GROUP BY ALL)
+SELECT doc_id, slide_no, md5(concat_ws(chr(10), '문서: ' || title, '슬라이드 ' || slide_no || ' / 전체 ' || total, '', '{prompt.LIST_HEAD}', shown,
+  CASE WHEN told IS NOT NULL THEN concat_ws(chr(10), '', '{prompt.HINT_HEAD}', told, '{prompt.HINT_NOTE}') END, '', '{prompt.REQUEST}')) AS prompt FROM s JOIN d USING (doc_id)""",
+    "first_reviews": """WITH f AS (SELECT doc_id AS ord, 'f' || doc_id AS filename, (n_chars % 10)::VARCHAR AS fingerprint, CASE WHEN doc_id % 9 = 0 THEN 'broken' END AS error FROM documents),
+g AS (SELECT fingerprint, min(ord) AS o FROM f WHERE error IS NULL GROUP BY fingerprint)
+SELECT f.*, CASE WHEN error IS NULL AND o <> ord THEN 'f' || o END AS duplicate_of FROM f LEFT JOIN g USING (fingerprint)""",
     "phrase_rules": f"WITH {SEG}, {_SENT}, {_LEARNT} SELECT doc_id, seg_id, rid, s, e, matched FROM phrased",
     "scan_learned": f"WITH {HITS}, {_SENT}, {_LEARNT} SELECT doc_id, seg_id, rid, category, weight, s, e, matched FROM hits UNION ALL "
     + " UNION ALL ".join(_keyword(i, k) for i, k in enumerate(KEYWORDS, 1) if len(k) >= 2) + " UNION ALL SELECT doc_id, seg_id, rid, category, 8, s, e, matched FROM phrased",
@@ -164,7 +185,7 @@ UNION ALL SELECT doc_id, seg_id, 'archive', 'fp', s, e, grade, disclosure_risk,
 UNION ALL SELECT doc_id, seg_id, 'labels', 'fp', s, e, 'B', false, category, NULL, NULL, NULL FROM ({_probed('lost', 'f.doc_id, f.seg_id, f.n, f.s, f.e')})""",
     "page_colours": f"""WITH {_HEX}, a AS (SELECT doc_id, doc_id % 4 + 1 AS n, [{', '.join(_byte(i) for i in range(4))}] AS v, 0.30::DOUBLE * {_byte(4)} + 0.59::DOUBLE * {_byte(5)} + 0.11::DOUBLE * {_byte(6)} AS lb FROM hx),
 b AS (SELECT doc_id, lb, {', '.join(_C)} FROM a WHERE n <> 2), c AS (SELECT *, 0.30::DOUBLE * r + 0.59::DOUBLE * g + 0.11::DOUBLE * b AS lh FROM b)
-SELECT doc_id, round(r, 6) AS r, round(g, 6) AS g, round(b, 6) AS b, CASE WHEN lb >= lh THEN 'dodge' ELSE 'multiply' END AS blend, round(CASE WHEN lb >= lh THEN least(0.97::DOUBLE, greatest(0, 1 - lh / lb + 0.03::DOUBLE)) ELSE lb / lh END, 6) AS strength FROM c""",
+SELECT doc_id, round(r, 9) AS r, round(g, 9) AS g, round(b, 9) AS b, CASE WHEN lb >= lh THEN 'dodge' ELSE 'multiply' END AS blend, round(CASE WHEN lb >= lh THEN least(0.97::DOUBLE, greatest(0, 1 - lh / lb + 0.03::DOUBLE)) ELSE lb / lh END, 9) AS strength FROM c""",
     "dark_ground": f"""WITH {_HEX} SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN {_bright(0)} < 0.45 WHEN doc_id % 5 > 0 THEN {_bright(3)} < 0.45 ELSE false END AS dark FROM hx""",
     "list_changes": f"""WITH {SEG}, w AS (SELECT doc_id, {_WORDS.format(1)} AS b, {_WORDS.format(2)} AS a FROM seg GROUP BY doc_id HAVING count(*) > 1)
 SELECT doc_id, coalesce(array_to_string(list_filter(a, lambda x: NOT list_contains(b, x)), ' '), '') AS added, coalesce(array_to_string(list_filter(b, lambda x: NOT list_contains(a, x)), ' '), '') AS removed FROM w""",
