@@ -132,7 +132,7 @@ FROM {source} f LEFT JOIN hits h ON h.doc_id = f.doc_id AND h.seg_id = f.seg_id
 
 def _grams(text: str) -> str:
     bare = f"regexp_replace(lower(regexp_replace({text}, '\\s+', '', 'g')), '[0-9]', '0', 'g')"
-    return f"list_distinct(CASE WHEN length({bare}) > 1 THEN list_transform(generate_series(1, length({bare}) - 1), lambda i: substr({bare}, i, 2)) WHEN length({bare}) = 1 THEN [{bare}] ELSE [] END)"
+    return f"list_transform([{bare}], lambda z: list_distinct(CASE WHEN length(z) > 1 THEN list_transform(generate_series(1, length(z) - 1), lambda i: substr(z, i, 2)) WHEN length(z) = 1 THEN [z] ELSE [] END))[1]"
 
 
 _DICE = "2.0::DOUBLE * len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g))"
