@@ -10,7 +10,7 @@ do not share, which bounds what they share from above.
 Prefix filter: the shingles of all texts stand in one order, common ones last. Two sets of a similarity of
 at least s share one of the first |T| - ceil(s |T|) + 1 shingles of each. Positional filter: at the first
 shingle they share, each has at least s / (1 + s) (|A| + |B|) left. All three are proven, so no pair is missed;
-what passes is verified on the whole sets. The order decides only how much passes, never what is found.
+what passes meets a bitmap filter of WIDE bits, and what passes that is verified on the whole sets. The order decides only how much passes, never what is found.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ EPS = 1e-6
 #: Words of 64 bits of a set's bitmap.
 MAP = 4
 _MAPS = [f"m{i}" for i in range(MAP)]
+#: Bits of the bitmap that candidates are compared by before their texts are moved.
+WIDE = 2048
 #: Texts that pairs name, up to which their ids are broadcast so that only those texts are moved.
 FEW_IDS = 500_000
 #: Bits in which fingerprints of the SimHash links may differ.
@@ -66,6 +68,13 @@ def fingerprint(h: np.ndarray) -> int:
     return int(np.packbits(2 * total > len(h), bitorder="little").view("<u8")[0])
 
 
+def bitmap(h: np.ndarray, bits: int) -> np.ndarray:
+    """Bytes of a bitmap in which each hash sets one bit."""
+    out = np.zeros(bits, bool)
+    out[(h >> np.uint64(20)) % np.uint64(bits)] = True
+    return np.packbits(out)
+
+
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both >= similarity * (len(a) + len(b) - both) - EPS
@@ -88,7 +97,7 @@ def common_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(docs: DataFrame, k: int, similarity: float) -> DataFrame:
-    """(doc_id, sig, size, fp, m0.., prefix): digest, size, fingerprint and bitmap of the set of shingles, and those of its prefix in the order of all."""
+    """(doc_id, sig, size, fp, m0.., wide, prefix): digest, size, fingerprint and two bitmaps of the set of shingles, and those of its prefix in the order of all."""
     held = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, k))
 
     def run(batches):
@@ -104,14 +113,12 @@ def _prefixes(docs: DataFrame, k: int, similarity: float) -> DataFrame:
                     at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                     rank = np.where(common[at] == h, often[at], 0)
                 first = np.lexsort((h, rank))[: len(h) - math.ceil(similarity * len(h) - EPS) + 1]
-                bits = np.zeros(64 * MAP, bool)
-                bits[(h >> np.uint64(20)) % np.uint64(64 * MAP)] = True
-                rows.append((sig, len(h), _signed(fingerprint(h)), np.packbits(bits).view(np.int64), h[first].view(np.int64)))
-            sigs, sizes, fps, maps, prefix = zip(*rows) if rows else ((),) * 5
+                rows.append((sig, len(h), _signed(fingerprint(h)), bitmap(h, 64 * MAP).view(np.int64), bitmap(h, WIDE).tobytes(), h[first].view(np.int64)))
+            sigs, sizes, fps, maps, wide, prefix = zip(*rows) if rows else ((),) * 6
             maps = np.array(maps, np.int64).reshape(-1, MAP)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()), *(pa.array(maps[:, i]) for i in range(MAP)), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "sig", "size", "fp", *_MAPS, "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()), *(pa.array(maps[:, i]) for i in range(MAP)), pa.array(wide, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "sig", "size", "fp", *_MAPS, "wide", "prefix"])
 
-    return docs.mapInArrow(run, f"doc_id long, sig binary, size int, fp long, {', '.join(f'{m} long' for m in _MAPS)}, prefix array<long>")
+    return docs.mapInArrow(run, f"doc_id long, sig binary, size int, fp long, {', '.join(f'{m} long' for m in _MAPS)}, wide binary, prefix array<long>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
@@ -153,6 +160,21 @@ def _may(x: str, y: str, similarity: float):
     return (F.least(a("left"), b("left")) >= need) & (a("size") - alone(a, b) >= need) & (b("size") - alone(b, a) >= need)
 
 
+def plausible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) that the bitmaps of WIDE bits don't rule out. A bit that one set alone has is a shingle that they don't share."""
+
+    def run(batches):
+        for b in batches:
+            m, n = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(-1, WIDE // 64) for i in (2, 3))
+            x, y = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (4, 5))
+            least = np.minimum(x - np.bitwise_count(m & ~n).sum(axis=1, dtype=np.int64), y - np.bitwise_count(n & ~m).sum(axis=1, dtype=np.int64))
+            yield b.select([0, 1]).filter(pa.array(least >= (x + y) * (similarity / (1 + similarity)) - EPS))
+
+    right = pairs.join(nodes.select(F.col("id").alias("b"), F.col("wide").alias("n"), F.col("size").alias("y")), "b")
+    both = right.join(nodes.select(F.col("id").alias("a"), F.col("wide").alias("m"), F.col("size").alias("x")), "a")
+    return both.select("a", "b", "m", "n", "x", "y").mapInArrow(run, "a long, b long").distinct()
+
+
 def simhash_links(nodes: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
     """Verified links (a, b) between nodes (id, fp) whose fingerprints are equal or joined by steps of RADIUS bits."""
     first = checkpoint(nodes.groupBy("fp").agg(F.min("id").alias("id")))
@@ -164,7 +186,7 @@ def simhash_links(nodes: DataFrame, docs: DataFrame, k: int, similarity: float)
 def similar_links(nodes: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of nodes of at least the similarity.
 
-    ``nodes``: (id, size, fp, prefix). SimHash links come first. A bucket has all nodes with one shingle in their
+    ``nodes``: (id, size, fp, m0.., wide, prefix). SimHash links come first. A bucket has all nodes with one shingle in their
     prefix. While buckets hold many pairs that no links join yet, each bucket's members are verified against a
     few of them. Then every pair of members of a bucket that is not joined already and passes the filter is
     verified: no bucket is cut.
@@ -188,6 +210,7 @@ def similar_links(nodes: DataFrame, docs: DataFrame, k: int, similarity: float)
         pivots = members.groupBy("key", F.pmod(chance, F.lit(PIVOTS)).alias("part")).agg(F.min(F.struct(chance.alias("h"), m.alias("x")))["x"].alias("x")).drop("part")
         pairs = members.select("key", m.alias("y")).join(pivots, "key").where((F.col("x.comp") != F.col("y.comp")) & _may("x", "y", similarity))
         pairs = checkpoint(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+        pairs = checkpoint(plausible(pairs, nodes, similarity))
         new = verified(pairs, docs, k, similarity)
         links = checkpoint(links.unionByName(new))
         roots = connected_components(links).withColumnRenamed("node", "id")
@@ -195,6 +218,7 @@ def similar_links(nodes: DataFrame, docs: DataFrame, k: int, similarity: float)
     x, y = members.alias("x"), members.alias("y")
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & _may("x", "y", similarity))
     pairs = checkpoint(rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+    pairs = checkpoint(plausible(pairs, nodes, similarity))
     new = verified(pairs, docs, k, similarity)
     return checkpoint(links.unionByName(new))
 
@@ -211,7 +235,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = materialise(_prefixes(docs, k, similarity), "prefixes")
     ids = checkpoint(found.groupBy("sig").agg(F.min("doc_id").alias("id")))
     same = found.select("doc_id", "sig").join(ids, "sig")
-    nodes = found.join(ids, "sig").where("doc_id = id").select("id", "size", "fp", *_MAPS, "prefix").distinct()
+    nodes = found.join(ids, "sig").where("doc_id = id").dropDuplicates(["sig", "id"]).select("id", "size", "fp", *_MAPS, "wide", "prefix")
     # a repeated id with different texts joins their nodes; copies follow their node and need no links
     several = same.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a <> last")
     also = same.join(several, "doc_id").where("id <> a").select("a", F.col("id").alias("b"))
