@@ -54,17 +54,26 @@ def shingles(text: bytes, k: int) -> np.ndarray:
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    line, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words])
+    w = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     m = min(k, len(words))
-    spans = zip([0, *ends[: len(words) - m].tolist()], (ends[m - 1 :] - 1).tolist())
-    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(line[a:b]) for a, b in spans), np.uint64, len(words) - m + 1))
+    n = len(words) - m + 1
+    h = w[:n]
+    for at in range(1, m):
+        h = _stir(h) + w[at : at + n]
+    return np.unique(_stir(h))
+
+
+def _stir(h: np.ndarray) -> np.ndarray:
+    """A one-to-one mix of 64-bit words, so that the order of what is added between two of them counts."""
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
 
 
 def fingerprint(h: np.ndarray) -> int:
     """SimHash of a set of shingle hashes: a bit is 1 if it is set in over half of them."""
     if not len(h):
         return 0
-    total = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, BITS // 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    total = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, BITS // 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
     return int(np.packbits(2 * total > len(h), bitorder="little").view("<u8")[0])
 
 
