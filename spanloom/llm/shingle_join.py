@@ -60,7 +60,8 @@ def shingles(text: bytes, k: int) -> np.ndarray:
     h = w[:n]
     for at in range(1, m):
         h = _stir(h) + w[at : at + n]
-    return np.unique(_stir(h))
+    h = np.sort(_stir(h))
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 def _stir(h: np.ndarray) -> np.ndarray:
@@ -112,15 +113,19 @@ def _prefixes(docs: DataFrame, k: int, similarity: float) -> DataFrame:
     def run(batches):
         claim("shingles")
         common, often = held.value
+        # most shingles are not common, and most of those are told by their low bits alone
+        low, seen = np.uint64((1 << 22) - 1), np.zeros(1 << 22, bool)
+        seen[common & low] = True
         for b in batches:
             rows = []
             for t in b.column(1):
                 h = shingles(encoded(t.as_py()), k)
                 sig = xxhash.xxh3_128_digest(h.tobytes())
                 rank = np.zeros(len(h), np.int64)
-                if len(common) and len(h):
-                    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-                    rank = np.where(common[at] == h, often[at], 0)
+                maybe = np.flatnonzero(seen[h & low])
+                if len(maybe):
+                    at = np.minimum(np.searchsorted(common, h[maybe]), len(common) - 1)
+                    rank[maybe] = np.where(common[at] == h[maybe], often[at], 0)
                 first = np.lexsort((h, rank))[: len(h) - math.ceil(similarity * len(h) - EPS) + 1]
                 rows.append((sig, len(h), _signed(fingerprint(h)), bitmap(h, 64 * MAP).view(np.int64), bitmap(h, WIDE).tobytes(), h[first].view(np.int64)))
             sigs, sizes, fps, maps, wide, prefix = zip(*rows) if rows else ((),) * 6
@@ -202,9 +207,12 @@ def similar_links(nodes: DataFrame, docs: DataFrame, k: int, similarity: float)
     """
     links = simhash_links(nodes, docs, k, similarity)
     roots = connected_components(links).withColumnRenamed("node", "id")
-    keyed = nodes.select("id", "size", *_MAPS, F.posexplode("prefix").alias("at", "key")).select("key", "id", "size", (F.col("size") - F.col("at")).alias("left"), *_MAPS)
+    # keys travel without what the filters need: most of them no other node has
+    keyed = nodes.select("id", F.posexplode("prefix").alias("at", "key"))
     shared = keyed.groupBy("key").count().where("count > 1").select("key")
-    members = materialise(keyed.join(shared, "key").join(roots, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root"), "buckets")
+    about = nodes.select("id", "size", *_MAPS).join(roots, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
+    members = keyed.join(shared, "key").join(about, "id").select("key", "id", "size", (F.col("size") - F.col("at")).alias("left"), *_MAPS, "comp")
+    members = materialise(members, "buckets")
     before = math.inf
     for round_ in range(ROUNDS + 1):
         parts = members.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("joined"), F.count("*").alias("comps")).where("comps > 1")
