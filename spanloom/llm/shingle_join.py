@@ -25,24 +25,27 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, checkpoint, claim, encoded, materialise
+from .common import bound_batches, checkpoint, claim, encoded, materialise, release
 from .components import connected_components
 from .simhash import BITS, _signed, covering_links
 
 #: Common shingles are learnt from so many texts, or from every STEP-th where that is more; in how many of them one is
 #: common, and how many are told apart.
 SAMPLE, STEP, COMMON, MAX_COMMON = 8_000, 8, 3, 100_000
-#: Pairs a member of a bucket may have on average before pivots are tried first, at most so many of a bucket, for as
-#: many rounds at most as each takes a tenth of what is open. All pairs come after.
+#: A bucket's members are verified against pivots first: one for DENSE members of a bucket, at most PIVOTS, in one round
+#: and in as many more, up to ROUNDS, as members have over DENSE open pairs on average and each round takes a tenth of
+#: what is open. All pairs come after.
 DENSE, PIVOTS, ROUNDS = 16, 8, 6
 EPS = 1e-6
 #: Words of 64 bits of a set's bitmap.
-MAP = 4
+MAP = 8
 _MAPS = [f"m{i}" for i in range(MAP)]
 #: Bits of the bitmap that candidates are compared by before their texts are moved.
 WIDE = 2048
 #: Texts that pairs name, up to which their ids are broadcast so that only those texts are moved.
 FEW_IDS = 500_000
+#: Links up to which their components are settled on the driver, at 16 bytes each.
+FEW_LINKS = 250_000
 #: Bits in which fingerprints of the SimHash links may differ.
 RADIUS = 2
 #: Bytes of texts and their shingles that a task remembers while it verifies.
@@ -189,47 +192,60 @@ def simhash_links(nodes: DataFrame, docs: DataFrame, k: int, similarity: float)
     first = checkpoint(nodes.groupBy("fp").agg(F.min("id").alias("id")))
     equal = nodes.join(first.withColumnRenamed("id", "a"), "fp").where("id <> a").select("a", F.col("id").alias("b"))
     near = covering_links(first, RADIUS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return checkpoint(verified(checkpoint(equal.unionByName(near).distinct()), docs, k, similarity))
+    found = checkpoint(equal.unionByName(near).distinct())
+    release(docs.sparkSession)
+    return checkpoint(verified(found, docs, k, similarity))
 
 
 def similar_links(nodes: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of nodes of at least the similarity.
 
     ``nodes``: (id, size, fp, m0.., wide, prefix). SimHash links come first. A bucket has all nodes with one shingle in their
-    prefix. While buckets hold many pairs that no links join yet, each bucket's members are verified against a
-    few of them. Then every pair of members of a bucket that is not joined already and passes the filter is
+    prefix. Each bucket's members are verified against a few of them, again while buckets hold many pairs that no
+    links join yet, so that a group of copies costs rows by its size and not by its square. Then every pair of members of a bucket that is not joined already and passes the filter is
     verified: no bucket is cut.
     """
     links = simhash_links(nodes, docs, k, similarity)
-    roots = connected_components(links).withColumnRenamed("node", "id")
-    keyed = nodes.select("id", "size", *_MAPS, F.posexplode("prefix").alias("at", "key")).select("key", "id", "size", (F.col("size") - F.col("at")).alias("left"), *_MAPS)
+    roots = connected_components(links, few=FEW_LINKS).withColumnRenamed("node", "id")
+    keyed = nodes.select("id", F.posexplode("prefix").alias("at", "key"))
     shared = keyed.groupBy("key").count().where("count > 1").select("key")
-    members = materialise(keyed.join(shared, "key").join(roots, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root"), "buckets")
+    of = nodes.select("id", "size", *_MAPS).join(roots, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
+    # sizes and bitmaps join what is left: most shingles are of one text alone
+    members = keyed.join(shared, "key").join(of, "id").select("key", "id", "size", (F.col("size") - F.col("at")).alias("left"), *_MAPS, "comp")
+    members = materialise(members, "buckets")
+    release(docs.sparkSession)
     before = math.inf
     for round_ in range(ROUNDS + 1):
         parts = members.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("joined"), F.count("*").alias("comps")).where("comps > 1")
         parts = checkpoint(parts)
         n, open_ = parts.agg(F.sum("n"), F.sum(F.col("n") * F.col("n") - F.col("joined")) / 2).first()
-        members = members.join(parts.select("key"), "key", "left_semi")
-        if not n or open_ <= DENSE * n or 10 * open_ > 9 * before or round_ == ROUNDS:
+        if not n or round_ and (open_ <= DENSE * n or 10 * open_ > 9 * before) or round_ == ROUNDS:
+            members = members.join(parts.select("key"), "key", "left_semi")
             break
+        members = members.join(parts.select("key", "n"), "key")
         before = float(open_)
         m = F.struct("id", "size", "left", "comp", *_MAPS)
         chance = F.xxhash64("id", F.lit(round_))
-        pivots = members.groupBy("key", F.pmod(chance, F.lit(PIVOTS)).alias("part")).agg(F.min(F.struct(chance.alias("h"), m.alias("x")))["x"].alias("x")).drop("part")
+        share = F.least(F.greatest(F.floor(F.col("n") / DENSE), F.lit(1)), F.lit(PIVOTS))
+        pivots = members.groupBy("key", F.pmod(chance, share).alias("part")).agg(F.min(F.struct(chance.alias("h"), m.alias("x")))["x"].alias("x")).drop("part")
         pairs = members.select("key", m.alias("y")).join(pivots, "key").where((F.col("x.comp") != F.col("y.comp")) & _may("x", "y", similarity))
         pairs = checkpoint(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
         pairs = checkpoint(plausible(pairs, nodes, similarity))
         new = verified(pairs, docs, k, similarity)
         links = checkpoint(links.unionByName(new))
-        roots = connected_components(links).withColumnRenamed("node", "id")
-        members = checkpoint(members.drop("comp").join(roots, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root"))
+        roots = connected_components(links, few=FEW_LINKS).withColumnRenamed("node", "id")
+        members = checkpoint(members.drop("comp", "n").join(roots, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root"))
+        del parts, pivots, pairs, new
+        release(docs.sparkSession)
     x, y = members.alias("x"), members.alias("y")
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & _may("x", "y", similarity))
     pairs = checkpoint(rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+    del parts, members, rest, x, y
+    release(docs.sparkSession)
     pairs = checkpoint(plausible(pairs, nodes, similarity))
-    new = verified(pairs, docs, k, similarity)
-    return checkpoint(links.unionByName(new))
+    links = checkpoint(links.unionByName(verified(pairs, docs, k, similarity)))
+    release(docs.sparkSession)
+    return links
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -248,7 +264,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # a repeated id with different texts joins their nodes; copies follow their node and need no links
     several = same.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a <> last")
     also = same.join(several, "doc_id").where("id <> a").select("a", F.col("id").alias("b"))
-    roots = connected_components(similar_links(nodes, docs, k, similarity).unionByName(also))
+    roots = connected_components(similar_links(nodes, docs, k, similarity).unionByName(also), few=FEW_LINKS)
     named = ids.join(roots, ids["id"] == roots["node"], "left").select("sig", F.coalesce("root", "id").alias("component_id"))
     return found.select("doc_id", "sig").join(named, "sig").select("doc_id", "component_id")
 

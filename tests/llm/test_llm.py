@@ -158,6 +158,37 @@ def test_crowded_buckets_are_compared_whole(spark):
     assert len(set(want.values())) > 500 and {x["doc_id"]: x["component_id"] for x in shingle_join.similar_components(d).collect()} == want
 
 
+def test_a_group_of_copies_makes_pairs_by_its_size(spark, monkeypatch):
+    r, size, tried = random.Random(3), 30, []
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(size):
+        text = list(base)
+        for at in r.sample(range(5, 195), 2):
+            text[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(text)))
+    plausible = shingle_join.plausible
+
+    def counted(pairs, *rest):
+        tried.append(pairs.count())
+        return plausible(pairs, *rest)
+
+    monkeypatch.setattr(shingle_join, "plausible", counted)
+    got = shingle_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x["component_id"] for x in got} == {0} and len(got) == size
+    assert sum(tried) <= 3 * size  # all pairs are 435
+
+
+def test_components_of_few_edges_equal_the_distributed_ones(spark):
+    r = random.Random(5)
+    edges = [(r.randrange(-300, 300), r.randrange(-300, 300)) for _ in range(250)] + [(k, k + 1) for k in range(1000, 1060)] + [(7, 7), (None, 3), (2**62, -(2**62))]
+    e = spark.createDataFrame(edges, "a long, b long")
+    want = sorted(connected_components(e).collect())
+    few = connected_components(e, few=10_000)
+    assert len(want) > 100 and sorted(few.collect()) == want and few.dtypes == [("node", "bigint"), ("root", "bigint")]
+    assert connected_components(e.limit(0), few=10).collect() == []
+
+
 @pytest.mark.parametrize("hot", [20_000, 1])
 def test_suffix_dedup_equals_brute_force(spark, docs, empty, hot):
     w = 130
