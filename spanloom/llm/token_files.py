@@ -1,12 +1,13 @@
-"""Token ids in binary frames, packed by an adaptive context-mixing range coder.
+"""Token ids in binary frames, packed by a context-mixing range coder.
 
-A frame holds whole documents in order and is cut into blocks of BLOCK ids. Every block starts from fresh
-model state, has its own coded words and its own CRC-32, and can be decoded without any other. The coder
+A frame holds whole documents in order and is cut into blocks of BLOCK ids. Every block starts from empty
+memories, has its own coded words and its own CRC-32, and can be decoded without any other. The coder
 mixes three predictions for each id: the id that last followed the two ids before it (order 2), the id
-that last followed the one before it (order 1), and adaptive counts of the upper bytes of the block's own
-ids (order 0). Weights of orders 2 and 1 follow how often such predictions came true, by their run of
-successes. One range-coder step per id codes its share of [0, 2^24). The blocks of a frame advance together
-as numpy lanes, so the cost per id is a few vector operations.
+that last followed the one before it (order 1), and the shares of the frame's ids (order 0). Orders 2 and 1
+weigh as much as such predictions came true over the frame, by the runs of successes of both. Shares and
+weights are counted before coding and lie in the frame's header. One range-coder step per id codes which
+prediction holds and, if neither order 2 nor 1 does, the id's share of [0, 2^20). The blocks of a frame
+advance together as numpy lanes, so the cost per id is a few vector operations.
 
 Frames are rows of a Parquet dataset, so they lie in any store that Spark writes, with its commit protocol.
 """
@@ -15,138 +16,146 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Callable
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cache, claim, encoded
+from .common import bound_batches, cache, claim
 
-MAGIC = b"SPTK\x01"
+MAGIC = b"SPTK\x02"
+_HEAD = "<QIHII"
 BLOCK = 4096
-#: Ids from which a frame is closed after the document that reaches them.
+#: Ids from which a frame is closed after the document that reaches them, if half as many follow.
 FRAME = 6_000_000
 #: log2 of the slots of the order-1 and order-2 memories of a block.
 SLOTS = 10
-#: Order-0 counts are turned into shares after so many ids.
-RENEW = 512
-_TOTAL = 1 << 24
+#: Runs told apart in an entry of a memory: empty, new, then successes; the two orders' and whether they agree make a context.
+STATES = 8
+_CONTEXTS = 2 * STATES * STATES
+#: log2 of the total of order 0's shares.
+SHARE = 20
+#: Steps whose model is worked out together when coding.
+CHUNK = 64
 _LOW63, _LOW31 = (1 << 63) - 1, (1 << 31) - 1
+_SLOT = np.int32((1 << SLOTS) - 1)
 
 
-class _Model:
-    """Shares of the next id for each lane; the coder and the decoder make the same moves."""
-
-    def __init__(self, lanes: int, alphabet: int):
-        self.n, self.his = lanes, (alphabet + 255) >> 8
-        row = np.arange(lanes, dtype=np.int64)
-        self.base, self.base8, self.base_hi = row << SLOTS, row << 3, row * self.his
-        # id | run << 16; 32 bits halve the memory that each step jumps about in
-        self.slot1, self.slot2 = np.zeros(lanes << SLOTS, np.int32), np.zeros(lanes << SLOTS, np.int32)
-        self.hit1, self.hit2 = np.full(lanes * 8, 1 << 14, np.int64), np.full(lanes * 8, 1 << 14, np.int64)  # chance of a hit by run, of 2^16
-        self.counts = np.ones(lanes * self.his, np.int64)
-        self.p1 = np.zeros(lanes, np.int64)
-        self.p2 = np.zeros(lanes, np.int64)
-        self.seen = 0
-        self._share()
-
-    def _share(self) -> None:
-        """Shares of the upper bytes, of 4096, each at least 1; cum in 256ths of them."""
-        c = self.counts.reshape(self.n, self.his)
-        f = c * (4096 - self.his) // c.sum(axis=1, keepdims=True) + 1
-        f[np.arange(self.n), c.argmax(axis=1)] += 4096 - f.sum(axis=1)
-        self.freq = f.ravel()
-        self.cum = ((np.cumsum(f, axis=1) - f) << 8).ravel()
-
-    def find(self) -> np.ndarray:
-        """Upper byte for each of the 4096 shares of each lane."""
-        return np.repeat(np.tile(np.arange(self.his, dtype=np.uint8), self.n), self.freq)
-
-    def predict(self) -> None:
-        k = self.p1 * 40503
-        self.at1 = self.base + ((k >> 5) & ((1 << SLOTS) - 1))
-        self.at2 = self.base + (((k + self.p2 * 60493) >> 6) & ((1 << SLOTS) - 1))
-        e1, e2 = self.slot1.take(self.at1), self.slot2.take(self.at2)
-        self.id1, self.id2 = e1 & 0xFFFF, e2 & 0xFFFF
-        self.h1, self.h2 = self.base8 + (e1 >> 16), self.base8 + (e2 >> 16)
-        self.c1, self.c2 = self.hit1.take(self.h1), self.hit2.take(self.h2)
-        self.e1, self.e2 = e1, e2
-        # at most 3/4 each, so that order 0 keeps a sixteenth of the whole
-        self.w2 = np.minimum(self.c2, 49152) << 8
-        left = _TOTAL - self.w2
-        self.w1 = ((left * np.minimum(self.c1, 49152)) >> 16) * (self.id1 != self.id2)
-        self.rest = left - self.w1
-
-    def update(self, ids: np.ndarray, at_hi: np.ndarray) -> None:
-        ok1, ok2 = self.id1 == ids, self.id2 == ids
-        self.hit1[self.h1] = self.c1 + ((ok1 * 65520 + 15 - self.c1) >> 4)
-        self.hit2[self.h2] = self.c2 + ((ok2 * 65520 + 15 - self.c2) >> 4)
-        self.slot1[self.at1] = np.where(ok1, np.minimum(self.e1 + 65536, ids + (7 << 16)), ids)
-        self.slot2[self.at2] = np.where(ok2, np.minimum(self.e2 + 65536, ids + (7 << 16)), ids)
-        self.counts[at_hi] = self.counts.take(at_hi) + 24
-        self.p2, self.p1 = self.p1, ids
-        self.seen += 1
-
-    def due(self) -> bool:
-        return self.seen % RENEW == 0
+def _memories(lanes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Entries (id | state << 16) of order 2, then of order 1, of all lanes; and where each lane's begin."""
+    row = np.arange(lanes, dtype=np.int64) << SLOTS
+    return np.zeros(2 * lanes << SLOTS, np.int32), np.stack([row, row + (lanes << SLOTS)])
 
 
 def _lanes(ids: np.ndarray) -> tuple[np.ndarray, int]:
     """ids as (steps, lanes), padded with zeros in the last lane."""
     lanes = max(1, -(-len(ids) // BLOCK))
     steps = BLOCK if lanes > 1 else max(1, len(ids))
-    out = np.zeros(lanes * steps, np.int64)
+    out = np.zeros(lanes * steps, np.int32)
     out[: len(ids)] = ids
     return np.ascontiguousarray(out.reshape(lanes, steps).T), lanes
 
 
-def pack(ids: np.ndarray, alphabet: int = 49408) -> bytes:
-    """One frame: header, CRC-32 and number of 32-bit words of each block, then the blocks' words."""
+def _outcomes(steps: np.ndarray, lanes: int) -> np.ndarray:
+    """Context of each id, plus _CONTEXTS times what told it: 0 order 2, 1 order 1, 2 neither."""
+    found = np.empty(steps.shape, np.uint16)
+    slots, base = _memories(lanes)
+    last = np.zeros((2, lanes), np.int32)
+    new = np.empty((2, lanes), np.int32)
+    for k in range(0, len(steps), CHUNK):
+        x = steps[k : k + CHUNK]
+        before = np.concatenate([last, x])
+        at, e = np.empty((len(x), 2, lanes), np.int64), np.empty((len(x), 2, lanes), np.int32)
+        np.bitwise_and(before[1:-1] + before[:-2] * 37, _SLOT, out=at[:, 0])
+        np.bitwise_and(before[1:-1], _SLOT, out=at[:, 1])
+        at += base
+        for one, i, entry in zip(x, at, e):
+            slots.take(i, out=entry, mode="clip")
+            np.copyto(new, one)
+            np.copyto(new, entry, where=(entry & 0xFFFF) == one)
+            new += 65536
+            slots[i] = new
+        last = before[-2:]
+        ids, state = e & 0xFFFF, np.minimum(e >> 16, STATES - 1)
+        ok = ids == x[:, None]
+        context = ((ids[:, 0] == ids[:, 1]) * STATES + state[:, 0]) * STATES + state[:, 1]
+        found[k : k + CHUNK] = context + np.where(ok[:, 0], 0, np.where(ok[:, 1], _CONTEXTS, 2 * _CONTEXTS))
+    return found
+
+
+def _weights(outcomes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of orders 2 and 1 in each context, of 65536; order 0 keeps a sixteenth of the whole."""
+    n = np.bincount(outcomes.ravel(), minlength=3 * _CONTEXTS).reshape(3, _CONTEXTS)
+    total = n.sum(axis=0) + 1
+    w2 = np.clip(n[0] * 65536 // total, 1, 61439)
+    w1 = np.clip(n[1] * 65536 // total, 1, 61440 - w2)
+    w1[_CONTEXTS // 2 :] = 0
+    return w2, w1
+
+
+def _shares(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids that occur, and the share of each, at least 1."""
+    n = np.bincount(ids)
+    there = np.flatnonzero(n)
+    n = n[there]
+    f = n * ((1 << SHARE) - len(n)) // n.sum() + 1
+    f[n.argmax()] += (1 << SHARE) - f.sum()
+    return there, f
+
+
+def pack(ids: np.ndarray) -> bytes:
+    """One frame: header, weights and shares, CRC-32 and number of 32-bit words of each block, then the blocks' words. Ids are below 65536."""
     steps, lanes = _lanes(ids)
-    m = _Model(lanes, alphabet)
+    outcomes = _outcomes(steps, lanes)
+    w2, w1 = _weights(outcomes)
+    there, shares = _shares(steps.ravel())
+    share_of, cum_of = np.zeros(there[-1] + 1, np.int64), np.zeros(there[-1] + 1, np.int64)
+    share_of[there], cum_of[there] = shares, np.cumsum(shares) - shares
+    starts, sizes = np.concatenate([0 * w2, w2, w2 + w1]), np.concatenate([w2, w1, 65536 - w2 - w1])
     # signed, but kept below 2^63: a carry shows as the sign
     low, rng = np.zeros(lanes, np.int64), np.full(lanes, _LOW63)
     width = len(steps) + 4
     words, n_words = np.zeros(lanes * width, np.uint32), np.arange(lanes, dtype=np.int64) * width
-    for x in steps:
-        m.predict()
-        at_hi = m.base_hi + (x >> 8)
-        f = m.freq.take(at_hi)
-        c = m.cum.take(at_hi) + (x & 0xFF) * f
-        base = m.w2 + m.w1
-        start = base + ((m.rest * c) >> 20)
-        size = base + ((m.rest * (c + f)) >> 20) - start
-        is1, is2 = m.id1 == x, m.id2 == x
-        is1 &= ~is2
-        start = np.where(is2, 0, np.where(is1, m.w2, start))
-        size = np.where(is2, m.w2, np.where(is1, m.w1, size))
-        rng >>= 24
-        start *= rng
-        low += start
-        rng *= size
-        carry = np.flatnonzero(low < 0)
-        if len(carry):
-            low[carry] &= _LOW63
-            _carry(words, n_words, carry)
-        need = np.flatnonzero(rng < 1 << 31)
-        if len(need):
-            at, x_low = n_words.take(need), low.take(need)
-            words[at] = x_low >> 31
-            n_words[need] = at + 1
-            low[need] = (x_low & _LOW31) << 32
-            rng[need] = rng.take(need) << 32
-        m.update(x, at_hi)
-        if m.due():
-            m._share()
+    unit, part = np.empty(lanes, np.int64), np.empty(lanes, np.int64)
+    for k in range(0, len(steps), CHUNK):
+        x, told = steps[k : k + CHUNK], outcomes[k : k + CHUNK]
+        by0 = (told >= 2 * _CONTEXTS).astype(np.int64)
+        c, f = cum_of.take(x) * by0, share_of.take(x) * by0 + (1 - by0)
+        # the part of a prediction, then in order 0's part the id's own
+        for start, size, shift, cum, share in zip(starts.take(told), sizes.take(told), by0 * SHARE, c, f):
+            np.right_shift(rng, 16, out=unit)
+            start *= unit
+            low += start
+            np.multiply(unit, size, out=part)
+            part >>= shift
+            cum *= part
+            low += cum
+            np.multiply(part, share, out=rng)
+            carry = (low < 0).nonzero()[0]
+            if len(carry):
+                low[carry] &= _LOW63
+                _carry(words, n_words, carry)
+            need = (rng < 1 << 31).nonzero()[0]
+            if len(need):
+                at, x_low = n_words.take(need), low.take(need)
+                words[at] = x_low >> 31
+                n_words[need] = at + 1
+                low[need] = (x_low & _LOW31) << 32
+                rng[need] = rng.take(need) << 32
     for _ in range(2):
         words[n_words] = low >> 31
         n_words += 1
         low = (low & _LOW31) << 32
     words, n_words = words.reshape(lanes, width), n_words - np.arange(lanes) * width
     crcs = [zlib.crc32(ids[k * BLOCK : (k + 1) * BLOCK].astype("<u4").tobytes()) for k in range(lanes)]
-    head = MAGIC + struct.pack("<QIIH", len(ids), lanes, alphabet, BLOCK)
-    return b"".join([head, np.array(crcs, "<u4").tobytes(), n_words.astype("<u4").tobytes(), *(words[k, : n_words[k]].astype("<u4").tobytes() for k in range(lanes))])
+    # bytes of one weight lie together, which zlib packs better
+    model = np.concatenate([w2, w1, np.diff(there, prepend=0), shares]).astype("<u4")
+    model = zlib.compress(model.view(np.uint8).reshape(-1, 4).T.tobytes())
+    head = MAGIC + struct.pack(_HEAD, len(ids), lanes, BLOCK, len(there), len(model))
+    return b"".join([head, model, np.array(crcs, "<u4").tobytes(), n_words.astype("<u4").tobytes(), *(words[k, : n_words[k]].astype("<u4").tobytes() for k in range(lanes))])
 
 
 def _carry(words: np.ndarray, n_words: np.ndarray, lanes: np.ndarray) -> None:
@@ -160,71 +169,103 @@ def unpack(frame: bytes, block: int | None = None) -> np.ndarray:
     """The ids of a frame, or of one block alone. Raises ValueError where a checksum or the header is wrong."""
     if frame[: len(MAGIC)] != MAGIC:
         raise ValueError("not a frame of token ids")
-    total, lanes, alphabet, width = struct.unpack_from("<QIIH", frame, len(MAGIC))
-    at = len(MAGIC) + struct.calcsize("<QIIH")
+    total, lanes, width, n_there, n_model = struct.unpack_from(_HEAD, frame, len(MAGIC))
+    at = len(MAGIC) + struct.calcsize(_HEAD)
+    try:
+        model = np.frombuffer(zlib.decompress(frame[at : at + n_model]), np.uint8)
+    except zlib.error as e:
+        raise ValueError("the header is damaged") from e
+    model = np.ascontiguousarray(model.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    w2, w1, there, shares = np.split(model, [_CONTEXTS, 2 * _CONTEXTS, 2 * _CONTEXTS + n_there])
+    at += n_model
     crcs = np.frombuffer(frame, "<u4", lanes, at)
     n_words = np.frombuffer(frame, "<u4", lanes, at + 4 * lanes).astype(np.int64)
     firsts = np.cumsum(n_words) - n_words
     coded = np.frombuffer(frame, "<u4", int(n_words.sum()), at + 8 * lanes)
     pick = np.arange(lanes) if block is None else np.array([block])
-    coded = np.concatenate([coded, np.zeros(4, "<u4")]).astype(np.int64)
     n_steps = width if lanes > 1 else max(1, total)
-    ids = _decode(coded, firsts[pick], alphabet, n_steps)
+    ids = _decode(np.concatenate([coded, np.zeros(4, "<u4")]), firsts[pick], w2, w1, np.cumsum(there), shares, n_steps)
     for j, k in enumerate(pick):
         if zlib.crc32(ids[j, : min(width, total - k * width)].astype("<u4").tobytes()) != crcs[k]:
             raise ValueError(f"block {k} is damaged")
     return ids.ravel()[:total] if block is None else ids[0, : min(width, total - block * width)]
 
 
-def _decode(coded: np.ndarray, at: np.ndarray, alphabet: int, n_steps: int) -> np.ndarray:
+def _decode(coded: np.ndarray, at: np.ndarray, w2: np.ndarray, w1: np.ndarray, there: np.ndarray, shares: np.ndarray, n_steps: int) -> np.ndarray:
     lanes = len(at)
-    m = _Model(lanes, alphabet)
-    find, end, first = m.find(), len(coded) - 1, np.arange(lanes, dtype=np.int64) << 12
     # code is kept relative to low, which then need not be known
-    code = (coded[at] << 31) | (coded[np.minimum(at + 1, end)] >> 1)
-    spare, at, rng = coded[np.minimum(at + 1, end)] & 1, at + 2, np.full(lanes, _LOW63)
+    code = (coded[at].astype(np.int64) << 31) | (coded[at + 1] >> 1)
+    # a window of 63 bits reads the words one bit late
+    late, at = ((coded[:-1] & 1) << np.uint32(31)) | (coded[1:] >> np.uint32(1)), at + 1
+    rng = np.full(lanes, _LOW63)
+    w21, w0 = w2 + w1, 65536 - w2 - w1
+    rank = np.repeat(np.arange(len(there), dtype=np.uint16), shares)
+    cums, there = np.cumsum(shares) - shares, there.astype(np.int32)
+    slots, base = _memories(lanes)
     out = np.empty((n_steps, lanes), np.int32)
+    x, hashed = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+    i = np.empty((2, lanes), np.int64)
+    e, ids, state, new = (np.empty((2, lanes), np.int32) for _ in range(4))
+    context, unit, end2, end1, part, share, cum, found = (np.empty(lanes, np.int64) for _ in range(8))
     for step in range(n_steps):
-        m.predict()
-        rng >>= 24
-        t = np.minimum((code.view(np.uint64) // rng.view(np.uint64)).view(np.int64), _TOTAL - 1)
-        base = m.w2 + m.w1
-        # both divisions have less than 2^44 above and 2^24 below, for which doubles are exact
-        slot = np.minimum((((np.maximum(t - base, 0) + 1) << 20) - 1) / m.rest, (1 << 20) - 1).astype(np.int64)
-        hi = find.take(first + (slot >> 8)).astype(np.int64)
-        at_hi = m.base_hi + hi
-        f, c = m.freq.take(at_hi), m.cum.take(at_hi)
-        lo = ((slot - c) / f).astype(np.int64)
-        c += lo * f
-        start = base + ((m.rest * c) >> 20)
-        size = base + ((m.rest * (c + f)) >> 20) - start
-        is2 = t < m.w2
-        is1 = ~is2 & (t < base)
-        x = np.where(is2, m.id2, np.where(is1, m.id1, (hi << 8) | lo))
-        start = np.where(is2, 0, np.where(is1, m.w2, start))
-        size = np.where(is2, m.w2, np.where(is1, m.w1, size))
-        start *= rng
+        hashed += x
+        np.bitwise_and(hashed, _SLOT, out=i[0])
+        np.bitwise_and(x, _SLOT, out=i[1])
+        i += base
+        slots.take(i, out=e, mode="clip")
+        np.bitwise_and(e, 0xFFFF, out=ids)
+        np.right_shift(e, 16, out=state)
+        np.minimum(state, STATES - 1, out=state)
+        np.multiply(ids[0] == ids[1], STATES, out=context)
+        context += state[0]
+        context *= STATES
+        context += state[1]
+        np.right_shift(rng, 16, out=unit)
+        w2.take(context, out=end2, mode="clip")
+        end2 *= unit
+        w21.take(context, out=end1, mode="clip")
+        end1 *= unit
+        w0.take(context, out=part, mode="clip")
+        part *= unit
+        part >>= SHARE
+        np.multiply(x, 37, out=hashed)
+        # order 0 for all lanes, as most ids come from it; then the predicted ones are put in their place
+        np.subtract(code, end1, out=found)
+        by0, by2 = found >= 0, code < end2
+        np.floor_divide(found.view(np.uint64), part.view(np.uint64), out=found.view(np.uint64))
+        found = rank.take(found, mode="clip").astype(np.int64)
+        x = there.take(found, out=out[step], mode="clip")
+        cums.take(found, out=cum, mode="clip")
+        cum *= part
+        cum += end1
+        shares.take(found, out=share, mode="clip")
+        share *= part
+        np.copyto(x, ids[1], where=~by0)
+        np.copyto(x, ids[0], where=by2)
+        start = np.where(by0, cum, end2)
+        start[by2] = 0
+        end1 -= end2
+        rng = np.where(by0, share, end1)
+        np.copyto(rng, end2, where=by2)
         code -= start
-        rng *= size
-        need = np.flatnonzero(rng < 1 << 31)
+        need = (rng < 1 << 31).nonzero()[0]
         if len(need):
             place = at.take(need)
-            w = coded.take(np.minimum(place, end))
-            code[need] = (code.take(need) << 32) | (spare.take(need) << 31) | (w >> 1)
-            spare[need] = w & 1
+            code[need] = (code.take(need) << 32) | late.take(place, mode="clip")
             at[need] = place + 1
             rng[need] = rng.take(need) << 32
-        out[step] = x
-        m.update(x, m.base_hi + (x >> 8))
-        if m.due():
-            m._share()
-            find = m.find()
+        np.copyto(new, x)
+        np.copyto(new, e, where=ids == x)
+        new += 65536
+        slots[i] = new
     return np.ascontiguousarray(out.T)
 
 
 #: Encoded words remembered in a worker; later ones are encoded as they come.
 MEMO = 700_000
 _MARK = "<|endoftext|>"
+#: The signs that the vocabulary has for bytes: printable characters of Latin-1 themselves, the rest in order; blanks part words here.
+_SIGNS = {b: chr(b) for b in range(256)} | {b: chr(256 + k) for k, b in enumerate([*range(33), *range(127, 161), 173]) if b != 32}
 #: ASCII marks at the end of a word that always start a pre-token of their own after an ASCII letter or digit.
 _TAIL = b".,;:!?#*$%&"
 _ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
@@ -251,11 +292,11 @@ class WordEncoder:
         self.t, _, self.special = tokenizer(path)
         self.mark = self.t.token_to_id(_MARK)
         self.memo: dict[bytes, bytes] = {}
-        # the same model without normalizer and pattern, for words that both leave as they are
+        # the same model without normalizer and pattern, for words that both leave as they are; their bytes get their signs here
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.bare = Tokenizer(self.t.model)
-        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.last = np.zeros(self.t.get_vocab_size(), bool)
         self.last[[i for x, i in self.t.get_vocab(with_added_tokens=False).items() if x.endswith("</w>")]] = True
 
@@ -285,32 +326,35 @@ class WordEncoder:
         for p in plain:
             if p not in memo:
                 (words if _is_word(p) else other).append(p)
-        self._cut(out, words, b" ", self.bare, self.last, 0)
-        self._cut(out, other, b" <|endoftext|> ", self.t, np.arange(len(self.last)) == self.mark, 2)
+        self._cut(out, words, b" ", lambda x: x.decode("latin-1").translate(_SIGNS), self.bare, self.last, 0)
+        self._cut(out, other, b" <|endoftext|> ", lambda x: x.decode("utf-8", "replace"), self.t, np.arange(len(self.last)) == self.mark, 2)
         for p, (head, tail) in whole.items():
             out[p] = (out.get(head) or memo[head]) + (out.get(tail) or memo[tail])
         return out
 
     @staticmethod
-    def _cut(out: dict[bytes, bytes], parts: list[bytes], between: bytes, t, stops: np.ndarray, width: int) -> None:
-        """Encode parts a thousand at a time; each ends after an id of stops (width 0) or before it (width 2 bytes)."""
-        for at in range(0, len(parts), 1000):
-            some = parts[at : at + 1000]
-            ids = np.array(t.encode_batch_fast([between.join(some).decode("utf-8", "replace")], add_special_tokens=False)[0].ids, "<u2")
+    def _cut(out: dict[bytes, bytes], parts: list[bytes], between: bytes, read: Callable[[bytes], str], t, stops: np.ndarray, width: int) -> None:
+        """Encode parts 200 at a time; each ends after an id of stops (width 0) or before it (width 2 bytes)."""
+        for at in range(0, len(parts), 200):
+            some = parts[at : at + 200]
+            ids = np.array(t.encode_batch_fast([read(between.join(some))], add_special_tokens=False)[0].ids, "<u2")
             cuts = (2 * np.flatnonzero(stops[ids]) + (2 - width)).tolist()
             small = ids.tobytes()
             out.update(zip(some, [small[a:b] for a, b in zip([0, *(c + width for c in cuts)], [*cuts, len(small)])]))
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Ids as little-endian unsigned 16-bit integers."""
-        memo, parts = self.memo, [self._parts(t) for t in texts]
-        fresh = self._encode(set().union(*parts) - memo.keys())
-        memo.update(fresh)
-        found = [b"".join(map(memo.__getitem__, p)) for p in parts]
-        if len(memo) > MEMO:
-            for p in fresh:
-                del memo[p]
-        return found
+        parts = [self._parts(t) for t in texts]
+        flat = list(chain.from_iterable(parts))
+        found = list(map(self.memo.get, flat))
+        gaps = [k for k, x in enumerate(found) if x is None]
+        fresh = self._encode({flat[k] for k in gaps})
+        for k in gaps:
+            found[k] = fresh[flat[k]]
+        if len(self.memo) + len(fresh) <= MEMO:
+            self.memo.update(fresh)
+        ends = list(accumulate(map(len, parts), initial=0))
+        return [b"".join(found[a:b]) for a, b in pairwise(ends)]
 
 
 _encoders = cache()
@@ -327,7 +371,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
     """Encode every whole text (null: empty), append ``end_id``, write frames in ascending id order.
 
     Range-partitioned and sorted by the id (ties by text), nulls first. A frame is closed after the document
-    that reaches ``frame`` ids, so no document crosses frames and a task holds one frame at a time. The
+    that reaches ``frame`` ids if at least half as many follow, else they join it, as a short frame costs as
+    many steps as a long one. No document crosses frames, and a task holds one frame and a half at a time. The
     dataset has ``(part, seq, doc_ids, n_tokens, ids)``: the documents of the frame in order, their lengths,
     and the packed ids. Extra columns are ignored; an empty table writes an empty dataset.
     """
@@ -338,28 +383,31 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
 
     def run(batches):
         claim("files")
-        encode, held, n, seq, part = encoder(tokenizer_path), [], 0, 0, 0
+        encode, held, n, seq, part, full, n_full = encoder(tokenizer_path), [], 0, 0, 0, 0, 0
         end = np.array([end_id], "<u2").tobytes()
 
-        def close():
+        def close(held):
             ids = np.frombuffer(b"".join([x for _, x in held]), "<u2")
             sizes = [len(x) // 2 for _, x in held]
             kinds = (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
-            cols = (part, seq, [d for d, _ in held], sizes, pack(ids, encode.t.get_vocab_size()))
+            cols = (part, seq, [d for d, _ in held], sizes, pack(ids))
             return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cols, kinds)], ["part", "seq", "doc_ids", "n_tokens", "ids"])
 
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 some = b.slice(at, 2000)
                 part = some.column("part")[0].as_py()
-                for d, x in zip(some.column("doc_id").to_pylist(), encode([encoded(t.as_py()) for t in some.column("text")])):
+                texts = [t or b"" for t in some.column("text").cast(pa.binary()).to_pylist()]
+                for d, x in zip(some.column("doc_id").to_pylist(), encode(texts)):
                     held.append((d, x + end))
                     n += len(x) // 2 + 1
-                    if n >= frame:
-                        yield close()
-                        held, n, seq = [], 0, seq + 1
+                    if full and n - n_full >= frame / 2:
+                        yield close(held[:full])
+                        held, n, seq, full = held[full:], n - n_full, seq + 1, 0
+                    if not full and n >= frame:
+                        full, n_full = len(held), n
         if held:
-            yield close()
+            yield close(held)
 
     rows.mapInArrow(run, "part int, seq int, doc_ids array<long>, n_tokens array<long>, ids binary").write.parquet(path)
 
